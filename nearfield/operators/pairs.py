@@ -25,11 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.distance import SCORE_DIGITS
+from nearfield.session import broadcast_if_small, stored
 
 # Bounds: rows per block and rows of one matrix product.
 PAIR_BLOCK = 8192
 PAIR_CHUNK = 512
 GRID_AXES = 3
+# A grid pays once a cell is this much narrower than the range of random shadows.
+GRID_GAIN = 0.5
 ROUNDING = 10.0**-SCORE_DIGITS
 
 _PAIR_SCHEMA = "id_a bigint, id_b bigint, score double"
@@ -52,6 +55,40 @@ def directions(count: int, dim: int) -> np.ndarray:
     return np.array(signs).reshape(count, dim)
 
 
+def _on_directions(dense: Column, count: int, finish, width: int) -> Column:
+    """``width`` numbers per vector, made by ``finish`` from its shadows on the directions.
+
+    ``finish`` maps (vector size, shadows of the unit vectors) to a matrix of integers.
+    """
+
+    @F.arrow_udf("array<bigint>")
+    def project(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            sizes = pa.compute.list_value_length(batch).to_numpy(zero_copy_only=False)
+            out = np.zeros((len(batch), width), dtype=np.int64)
+            for size in np.unique(sizes).astype(int).tolist():
+                if size not in known:
+                    known[size] = directions(count, size)
+                rows = np.flatnonzero(sizes == size)
+                unit = _unit_rows(batch.take(pa.array(rows)))
+                out[rows] = finish(size, unit @ known[size].T)
+            offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * width)
+            yield pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+
+    return project(dense)
+
+
+def band_codes(dense: Column, bits: int, bands: int) -> Column:
+    """Per band, one number made of ``bits`` hyperplane signs."""
+
+    def code(_: int, shadows: np.ndarray) -> np.ndarray:
+        signs = (shadows >= 0).reshape(len(shadows), bands, bits)
+        return signs @ (1 << np.arange(bits, dtype=np.int64))
+
+    return _on_directions(dense, bits * bands, code, bands)
+
+
 class _BestPairs:
     """The n best pairs so far: by rounded score, then by ids."""
 
@@ -117,30 +154,34 @@ def _few_copies(vectors: DataFrame, n: int) -> DataFrame:
     return vectors.withColumn("copy", F.row_number().over(same)).filter(F.col("copy") <= n + 1).drop("copy")
 
 
-def _compare_blocks(members: DataFrame, n: int, floor: float | None, split: bool) -> DataFrame:
+def _block_counts(members: DataFrame) -> DataFrame:
+    """(cell, blocks) of the cells in which a point meets another one."""
+    sizes = members.groupBy("cell").agg(F.count("*").alias("rows"), F.count_if("home").alias("homes"))
+    return sizes.filter("homes > 0 and rows > 1").select(
+        "cell", F.ceil(F.col("rows") / F.lit(PAIR_BLOCK)).alias("blocks")
+    )
+
+
+def _compare_blocks(members: DataFrame, n: int, floor: float | None) -> DataFrame:
     """Best n pairs of every pair of blocks within a cell.
 
-    ``members``: cell, id, dense, home. Two points that are both guests are left to
-    another cell. A cell of more than a block's rows is split by a hash of the id, and
-    each of its blocks meets each other block in a group of its own.
+    ``members``: cell, blocks, id, dense, home. Two points that are both guests are
+    left to another cell. A cell is split into ``blocks`` by a hash of the id, and each
+    of its blocks meets each other block in a group of its own.
     """
-    if split:
-        sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(PAIR_BLOCK)).alias("blocks"))
-        members = members.join(sizes.filter("blocks > 1"), "cell", "left")
-        blocks = F.coalesce("blocks", F.lit(1).cast("bigint"))
-    else:
-        blocks = F.lit(1).cast("bigint")
-    mine = F.pmod(F.xxhash64("id"), blocks)
     partners = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), blocks - 1),
+        F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
         lambda other: F.struct(
             F.least(F.col("block"), other).alias("lo"), F.greatest(F.col("block"), other).alias("hi")
         ),
     )
+    # The explicit repartition spreads the block pairs of one crowded cell over tasks:
+    # rows already lying together by cell would otherwise be grouped where they are.
     meeting = (
-        members.withColumn("block", mine)
+        members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
         .withColumn("pair", F.explode(partners))
         .select("cell", F.col("pair.lo").alias("lo"), F.col("pair.hi").alias("hi"), "id", "dense", "block", "home")
+        .repartition("cell", "lo", "hi")
     )
 
     def compare(group: pa.Table) -> pa.Table:
@@ -167,16 +208,6 @@ def _floor_score(vectors: DataFrame, n: int) -> float | None:
     Points sorted by their hyperplane signs are compared within each Arrow batch.
     """
 
-    @F.arrow_udf("string")
-    def signs(dense: pa.Array) -> pa.Array:
-        known: dict[int, np.ndarray] = {}
-        codes = []
-        for vector in dense.to_pylist():
-            if len(vector) not in known:
-                known[len(vector)] = directions(32, len(vector))
-            codes.append(f"{len(vector)}:" + "".join("01"[int(x >= 0)] for x in known[len(vector)] @ vector))
-        return pa.array(codes, type=pa.string())
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _BestPairs(n, None)
         for batch in batches:
@@ -187,9 +218,12 @@ def _floor_score(vectors: DataFrame, n: int) -> float | None:
             _within(best, ids, unit, np.ones(len(ids), dtype=bool))
         yield pa.RecordBatch.from_pydict(best.rows(), schema=_PAIR_ARROW)
 
-    ordered = vectors.withColumn("signs", signs("dense")).repartitionByRange("signs", "id")
+    code = band_codes(F.col("dense"), 32, 1)[0]
     found = (
-        ordered.sortWithinPartitions("signs", "id")
+        vectors.withColumn("size", F.size("dense"))
+        .withColumn("code", code)
+        .repartitionByRange("size", "code", "id")
+        .sortWithinPartitions("size", "code", "id")
         .select("id", "dense")
         .mapInArrow(compare, _PAIR_SCHEMA)
         .orderBy(F.desc("score"))
@@ -211,29 +245,20 @@ def _on_grid(vectors: DataFrame, radius: float) -> DataFrame:
     """Every point in its own cell, and as a guest in half of the neighbouring cells.
 
     A vector's shadow on a unit direction moves no further than the vector itself, so
-    points within the radius lie in the same cell or in neighbouring ones. Vectors too
-    short for the radius to divide their range share one cell.
+    points within the radius lie in the same cell or in neighbouring ones.
     """
 
-    @F.arrow_udf("array<bigint>")
-    def cell(dense: pa.Array) -> pa.Array:
-        known: dict[int, np.ndarray] = {}
-        cells = []
-        for vector in dense.to_pylist():
-            size = len(vector)
-            if size not in known:
-                known[size] = directions(GRID_AXES, size) / np.sqrt(size)
-            unit = np.array(vector, dtype=np.float64)
-            unit /= np.linalg.norm(unit)
-            cells.append([size, *np.floor(known[size] @ unit / radius).astype(np.int64).tolist()])
-        return pa.array(cells, type=pa.list_(pa.int64()))
+    def cell(size: int, shadows: np.ndarray) -> np.ndarray:
+        place = np.floor(shadows / np.sqrt(size) / radius).astype(np.int64)
+        return np.column_stack([np.full(len(place), size), place])
 
+    own = _on_directions(F.col("dense"), GRID_AXES, cell, 1 + GRID_AXES)
     ahead = [step for step in product((-1, 0, 1), repeat=GRID_AXES) if step > (0,) * GRID_AXES]
     steps = F.array(
         *[F.array(*[F.lit(x).cast("bigint") for x in (0, *step)]) for step in [(0,) * GRID_AXES, *ahead]]
     )
     return (
-        vectors.withColumn("own", cell("dense"))
+        vectors.withColumn("own", own)
         .withColumn("step", F.explode(steps))
         .select(
             F.zip_with("own", "step", lambda x, y: x + y).alias("cell"),
@@ -261,58 +286,49 @@ def most_similar_pairs(
     if first is not None:
         points = points.orderBy("id").limit(first)
     vectors = _usable(points, using)
-    single = vectors.count() <= PAIR_BLOCK
-    floor = radius = None
-    if not single:
-        vectors = _few_copies(vectors, n)
+    blocks = vectors.count() // PAIR_BLOCK + 1
+    floor, longest = None, 1
+    if blocks > 1:
+        vectors = stored(_few_copies(vectors, n))
         floor = _floor_score(vectors, n)
-        radius = _grid_radius(floor)
-    longest = None if radius is None else vectors.agg(F.max(F.size("dense"))).first()[0]
-    if radius is not None and radius <= 0.5 / np.sqrt(longest):
+        longest = vectors.agg(F.max(F.size("dense"))).first()[0]
+    radius = _grid_radius(floor)
+    if radius is not None and radius <= GRID_GAIN / np.sqrt(longest):
         members = _on_grid(vectors, radius)
+        members = members.join(_block_counts(members), "cell")
     else:
-        members = vectors.withColumn("cell", F.array(F.size("dense"))).withColumn("home", F.lit(True))
-    return _best(_compare_blocks(members, n, floor, not single), n)
-
-
-def band_codes(dense: Column, bits: int, bands: int) -> Column:
-    """Per band, one number made of ``bits`` hyperplane signs."""
-
-    @F.arrow_udf("array<bigint>")
-    def codes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[int, np.ndarray] = {}
-        place = 1 << np.arange(bits, dtype=np.int64)
-        for batch in batches:
-            sizes = pa.compute.list_value_length(batch).to_numpy(zero_copy_only=False)
-            out = np.zeros((len(batch), bands), dtype=np.int64)
-            for size in np.unique(sizes):
-                size = int(size)
-                if size not in known:
-                    known[size] = directions(bits * bands, size)
-                rows = np.flatnonzero(sizes == size)
-                values = batch.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
-                signs = values.astype(np.float64).reshape(len(rows), size) @ known[size].T >= 0
-                out[rows] = signs.reshape(len(rows), bands, bits) @ place
-            offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * bands)
-            yield pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
-
-    return codes(dense)
+        members = vectors.select(
+            F.array(F.size("dense")).alias("cell"),
+            F.lit(blocks).cast("bigint").alias("blocks"),
+            "id",
+            "dense",
+            F.lit(True).alias("home"),
+        )
+    return _best(_compare_blocks(members, n, floor), n)
 
 
 def approximate_similar_pairs(
-    points: DataFrame, n: int = 5, bits: int = 6, bands: int = 8, using: str = "dense"
+    points: DataFrame, n: int = 5, bits: int = 8, bands: int = 16, using: str = "dense"
 ) -> DataFrame:
     """The n best among the pairs that agree on all signs of at least one band.
 
     More bits compare fewer pairs, more bands miss fewer. Scores are exact.
     """
-    vectors = _few_copies(_usable(points, using), n)
-    members = vectors.select(
-        "id", "dense", F.posexplode(band_codes(F.col("dense"), bits, bands)).alias("band", "code")
-    ).select(
-        F.array(F.size("dense").cast("bigint"), F.col("band").cast("bigint"), "code").alias("cell"),
-        "id",
-        "dense",
-        F.lit(True).alias("home"),
+    members = band_members(points, n, bits, bands, using)
+    return _best(_compare_blocks(members, n, None).distinct(), n)
+
+
+def band_members(points: DataFrame, n: int, bits: int, bands: int, using: str = "dense") -> DataFrame:
+    """Every point once per band, in the cell its signs name, with the cell's blocks."""
+    vectors = _usable(points, using)
+    crowded = vectors.count() > PAIR_BLOCK
+    coded = _few_copies(vectors, n).withColumn("codes", band_codes(F.col("dense"), bits, bands))
+    if crowded:
+        coded = stored(coded)
+    size, band = F.size("dense").cast("bigint"), F.col("band").cast("bigint")
+    members = coded.select("id", "dense", F.posexplode("codes").alias("band", "code")).select(
+        F.array(size, band, "code").alias("cell"), "id", "dense", F.lit(True).alias("home")
     )
-    return _best(_compare_blocks(members, n, None, True).distinct(), n)
+    if not crowded:
+        return members.withColumn("blocks", F.lit(1).cast("bigint"))
+    return members.join(broadcast_if_small(_block_counts(members)), "cell")

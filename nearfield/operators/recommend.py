@@ -11,6 +11,7 @@ from nearfield.functions.distance import l2_normalise
 from nearfield.operators.search import shape_hits
 from nearfield.operators.topk import Branch, topk
 from nearfield.schema import DEFAULT_LIMIT, LABEL_EXAMPLES
+from nearfield.session import broadcast_if_small, stored
 
 
 def examples_of(requests: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def example_vectors(
     count, and a request without any positive point has no vector.
     """
     vector = l2_normalise(F.col(using)) if distance == "Cosine" else F.col(using)
-    chosen = points.select("id", vector.alias("v")).join(examples.distinct(), "id")
+    chosen = points.join(examples, "id").select("query_id", "positive", vector.alias("v"))
     mean = vector_to_array(Summarizer.mean(array_to_vector("v")))
     sides = chosen.groupBy("query_id", "positive").agg(mean.alias("mean"))
     both = sides.groupBy("query_id").agg(
@@ -58,15 +59,17 @@ def recommend(
     """The k points nearest to each request's example vector, without its examples.
 
     ``examples`` has one row (query_id, id, positive) per example, so a request may
-    name any number of them. ``options`` may hold label, threshold and k per query_id;
+    name any number of them; few enough are broadcast, so that the points stay where
+    they are. ``options`` may hold label, threshold and k per query_id;
     ``condition`` restricts the results, not the examples.
     """
-    queries = example_vectors(points, examples, distance, using)
+    examples = stored(examples.distinct())
+    queries = example_vectors(points, broadcast_if_small(examples), distance, using)
     if options is not None:
         queries = queries.join(options, "query_id", "left")
     excluded = examples.groupBy("id").agg(F.collect_set("query_id").alias("excluded_by"))
     candidates = points if condition is None else points.filter(condition)
-    marked = candidates.join(excluded, "id", "left")
+    marked = candidates.join(broadcast_if_small(excluded), "id", "left")
     hits, most = topk(marked, queries, Branch(using, distance), k)
     return shape_hits(hits, candidates, most)
 

@@ -7,7 +7,11 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# A table is broadcast only when it was counted and has at most this many rows.
+MAX_BROADCAST_ROWS = 500_000
 
 
 def ship_package() -> None:
@@ -27,3 +31,18 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="nearfield-")
     return "/".join([root.rstrip("/"), "nearfield", *parts, uuid.uuid4().hex])
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the shared folder and read from there.
+
+    For results that several later jobs need: they survive the loss of executors.
+    """
+    path = shared_dir(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Marks ``df`` for broadcast if a count, stopped at the bound, finds it small."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
