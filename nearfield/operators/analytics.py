@@ -38,7 +38,7 @@ def result_stats(results: DataFrame) -> DataFrame:
     """Per query: number of hits, average score and top score."""
     return results.groupBy("query_id").agg(
         F.count("*").alias("hits"),
-        F.round(F.avg("score"), 6).alias("average_score"),
+        F.round(F.avg("score"), 9).alias("average_score"),
         F.max_by("score", -F.col("rank")).alias("top_score"),
     )
 
