@@ -6,8 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Blanks, punctuation, stop words and numeric labels.
-# BLANK lists the Unicode blanks one by one, since the JVM's \s and \w know only ASCII.
+# Blanks are spelt out, as a class and one by one: the JVM's \s and \w know only ASCII.
 BLANK = r"\t-\r\x1c-\x20\x85\p{Z}"
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 PUNCTUATION_PATTERN = rf"[^\p{{L}}\p{{N}}_{BLANK}]"
 MULTIPLE_SPACES_PATTERN = rf"[{BLANK}]+"
 STOP_WORDS = (
@@ -20,7 +24,7 @@ NUMERIC_LABELS = {"0": "negative", "1": "neutral", "2": "positive"}
 
 def strip(text: Column) -> Column:
     """Drop leading and trailing Unicode blanks."""
-    return F.regexp_replace(text, rf"^[{BLANK}]+|[{BLANK}]+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def clean_text(text: Column) -> Column:

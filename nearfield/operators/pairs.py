@@ -40,9 +40,12 @@ _PAIR_ARROW = pa.schema([("id_a", pa.int64()), ("id_b", pa.int64()), ("score", p
 
 
 def _unit_rows(column: pa.Array) -> np.ndarray:
+    """Unit vectors; a row without a direction (zero, or not all numbers) becomes NaN."""
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     matrix = values.reshape(len(column), -1)
-    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    length = np.linalg.norm(matrix, axis=1, keepdims=True)
+    usable = np.isfinite(length) & (length > 0)
+    return matrix / np.where(usable, length, np.nan)
 
 
 def directions(count: int, dim: int) -> np.ndarray:
@@ -65,14 +68,14 @@ def _on_directions(dense: Column, count: int, finish, width: int) -> Column:
     def project(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[int, np.ndarray] = {}
         for batch in batches:
-            sizes = pa.compute.list_value_length(batch).to_numpy(zero_copy_only=False)
+            sizes = pa.compute.list_value_length(batch).fill_null(0).to_numpy()
             out = np.zeros((len(batch), width), dtype=np.int64)
-            for size in np.unique(sizes).astype(int).tolist():
+            for size in np.unique(sizes[sizes > 0]).tolist():
                 if size not in known:
                     known[size] = directions(count, size)
                 rows = np.flatnonzero(sizes == size)
                 unit = _unit_rows(batch.take(pa.array(rows)))
-                out[rows] = finish(size, unit @ known[size].T)
+                out[rows] = finish(size, np.nan_to_num(unit @ known[size].T))
             offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * width)
             yield pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
 
@@ -100,6 +103,7 @@ class _BestPairs:
 
     def add(self, ids_a: np.ndarray, ids_b: np.ndarray, score: np.ndarray, skip: np.ndarray) -> None:
         """Scores of a block; ``skip`` marks the cells that are no pairs to consider."""
+        skip = skip | np.isnan(score)
         score = np.where(skip, -np.inf, score)
         floor = self.floor - ROUNDING
         if score.size > self.n:
@@ -135,13 +139,11 @@ def _between(best: _BestPairs, left: tuple, right: tuple) -> None:
         best.add(ids[part], other_ids, unit[part] @ other_unit.T, skip)
 
 
-def _usable(points: DataFrame, using: str) -> DataFrame:
-    """Points whose vector has a direction, as (id, dense)."""
-    numbers = F.forall(F.col(using), lambda x: x.isNotNull() & ~F.isnan(x))
-    direction = F.exists(F.col(using), lambda x: x != 0)
-    return points.filter(F.col("id").isNotNull() & numbers & direction).select(
-        F.col("id").cast("bigint").alias("id"), F.col(using).alias("dense")
-    )
+def _vectors(points: DataFrame, using: str) -> DataFrame:
+    """(id, dense). Vectors without a direction are left out where they are compared:
+    a filter on a column that an encoder makes would encode every text twice."""
+    named = points.filter(F.col("id").isNotNull())
+    return named.select(F.col("id").cast("bigint").alias("id"), F.col(using).alias("dense"))
 
 
 def _few_copies(vectors: DataFrame, n: int) -> DataFrame:
@@ -185,7 +187,9 @@ def _compare_blocks(members: DataFrame, n: int, floor: float | None) -> DataFram
     )
 
     def compare(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
+        group = group.filter(pa.compute.is_valid(group.column("dense"))).combine_chunks()
+        if not group.num_rows:
+            return _PAIR_ARROW.empty_table()
         ids = group.column("id").to_numpy()
         unit = _unit_rows(group.column("dense").combine_chunks())
         home = group.column("home").to_numpy(zero_copy_only=False).astype(bool)
@@ -212,8 +216,10 @@ def _floor_score(vectors: DataFrame, n: int) -> float | None:
         best = _BestPairs(n, None)
         for batch in batches:
             sizes = pa.compute.list_value_length(batch.column("dense"))
-            rows = pa.compute.equal(sizes, sizes[0])
-            batch = batch.filter(rows)
+            # sorted by size: one size fills nearly every batch
+            batch = batch.filter(pa.compute.equal(sizes, pa.compute.max(sizes)))
+            if not batch.num_rows:
+                continue
             ids, unit = batch.column("id").to_numpy(), _unit_rows(batch.column("dense"))
             _within(best, ids, unit, np.ones(len(ids), dtype=bool))
         yield pa.RecordBatch.from_pydict(best.rows(), schema=_PAIR_ARROW)
@@ -285,13 +291,13 @@ def most_similar_pairs(
     """
     if first is not None:
         points = points.orderBy("id").limit(first)
-    vectors = _usable(points, using)
+    vectors = _vectors(points, using)
     blocks = vectors.count() // PAIR_BLOCK + 1
     floor, longest = None, 1
     if blocks > 1:
         vectors = stored(_few_copies(vectors, n))
         floor = _floor_score(vectors, n)
-        longest = vectors.agg(F.max(F.size("dense"))).first()[0]
+        longest = vectors.agg(F.max(F.size("dense"))).first()[0] or 1
     radius = _grid_radius(floor)
     if radius is not None and radius <= GRID_GAIN / np.sqrt(longest):
         members = _on_grid(vectors, radius)
@@ -320,7 +326,7 @@ def approximate_similar_pairs(
 
 def band_members(points: DataFrame, n: int, bits: int, bands: int, using: str = "dense") -> DataFrame:
     """Every point once per band, in the cell its signs name, with the cell's blocks."""
-    vectors = _usable(points, using)
+    vectors = _vectors(points, using)
     crowded = vectors.count() > PAIR_BLOCK
     coded = _few_copies(vectors, n).withColumn("codes", band_codes(F.col("dense"), bits, bands))
     if crowded:

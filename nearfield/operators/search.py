@@ -15,17 +15,20 @@ FUSION_CONSTANT = 2
 MAX_BROADCAST_HITS = 1_000_000
 
 
-def shape_hits(hits: DataFrame, points: DataFrame, most: int | None) -> DataFrame:
+def shape_hits(
+    hits: DataFrame, points: DataFrame, most: int | None, payload: DataFrame | None = None
+) -> DataFrame:
     """Adds label and text to ranked hits: the payload is read for hits only.
 
     A missing label reads ``unknown``; text stays null where the points have none.
     """
+    points = points if payload is None else payload
     if most is not None and most <= MAX_BROADCAST_HITS:
         hits = F.broadcast(hits)
     label = F.col("label").cast("string") if "label" in points.columns else F.lit(None).cast("string")
     text = F.col("text") if "text" in points.columns else F.lit(None).cast("string")
-    payload = points.select(F.col("id").cast("bigint").alias("id"), label.alias("label"), text.alias("text"))
-    return payload.join(hits, "id").select(
+    shown = points.select(F.col("id").cast("bigint").alias("id"), label.alias("label"), text.alias("text"))
+    return shown.join(hits, "id").select(
         "query_id",
         "rank",
         "id",
@@ -46,16 +49,18 @@ def dense_search(
     distance: str = "Cosine",
     condition: Column | None = None,
     using: str = "dense",
+    payload: DataFrame | None = None,
 ) -> DataFrame:
     """The k nearest points of every query.
 
     ``queries``: query_id, the vector column, and optionally label (exact match),
     threshold (a lower bound, for Euclid an upper bound) and k, per query.
     ``condition`` restricts the points for all queries, e.g. to one shard key.
+    ``payload`` may name another table to read the hits' label and text from.
     """
     points = _chosen(points, condition)
     hits, most = topk(points, queries, Branch(using, distance), k)
-    return shape_hits(hits, points, most)
+    return shape_hits(hits, points, most, payload)
 
 
 def sparse_search(
@@ -64,11 +69,12 @@ def sparse_search(
     k: int = DEFAULT_LIMIT,
     condition: Column | None = None,
     using: str = "sparse",
+    payload: DataFrame | None = None,
 ) -> DataFrame:
     """The k points of largest inner product; points sharing no index are no hits."""
     points = _chosen(points, condition)
     hits, most = topk(points, queries, Branch(using, "Dot"), k)
-    return shape_hits(hits, points, most)
+    return shape_hits(hits, points, most, payload)
 
 
 def hybrid_search(
@@ -80,6 +86,7 @@ def hybrid_search(
     constant: float = FUSION_CONSTANT,
     dense: str = "dense",
     sparse: str = "sparse",
+    payload: DataFrame | None = None,
 ) -> DataFrame:
     """Dense and sparse ranking, each 2k deep, fused by reciprocal rank.
 
@@ -98,4 +105,4 @@ def hybrid_search(
     best = rank_hits(fused, deepest).filter(F.col("rank") <= F.col("k"))
     best = best.withColumnRenamed("gain", "score")
     most = None if shipped is None else shipped * deepest
-    return shape_hits(best.select("query_id", "rank", "id", "score"), points, most)
+    return shape_hits(best.select("query_id", "rank", "id", "score"), points, most, payload)

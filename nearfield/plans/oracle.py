@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from nearfield.functions.text import (
-    BLANK,
+    BLANKS,
     MULTIPLE_SPACES_PATTERN,
     NUMERIC_LABELS,
     PUNCTUATION_PATTERN,
@@ -36,7 +36,7 @@ def _clean(text: str) -> str:
 
 
 def _strip(text: str) -> str:
-    return f"regexp_replace({text}, '^[{BLANK}]+|[{BLANK}]+$', '', 'g')"
+    return f"trim({text}, '{BLANKS}')"
 
 
 POINTS = "p AS (SELECT vec_id AS id, embedding AS dense, label::VARCHAR AS label FROM embeddings)"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import distance as dist
 from nearfield.functions import predicates as p
-from nearfield.functions.encode import Bm25Encoder, HashingEncoder
+from nearfield.functions.encode import Bm25Encoder, HashingEncoder, query_weights
 from nearfield.functions.text import clean_text, tokens
 from nearfield.operators import analytics, lookup, mutate, pairs, recommend, report, search, validate
 from nearfield.plans import tables as t
@@ -40,7 +40,8 @@ def _hits(results: DataFrame) -> DataFrame:
 
 def _elements(rows: DataFrame, vector: str = "dense") -> DataFrame:
     """A vector column as (id, i, x) rows."""
-    return rows.select("id", F.posexplode(vector).alias("i", "x")).select(
+    # the outer form: the plain one adds a filter on the vector, which would be made twice
+    return rows.select("id", F.posexplode_outer(vector).alias("i", "x")).select(
         "id", "i", (F.round(F.col("x").cast("double"), 6) + 0.0).alias("x")
     )
 
@@ -136,19 +137,26 @@ def query_validation(spark, sf):
 
 @query
 def sparse_topk_bm25(spark, sf):
-    return search.sparse_search(t.sparse_documents(spark, sf), t.sparse_queries(spark, sf))
+    points = t.encoded_documents(spark, sf, dense=False)
+    queries = query_weights(t.text_queries(spark, sf), points)
+    return search.sparse_search(points, queries, payload=t.documents(spark, sf))
 
 
 @query
 def hybrid_rrf(spark, sf):
-    return search.hybrid_search(t.both_documents(spark, sf), t.both_queries(spark, sf))
+    points = t.encoded_documents(spark, sf)
+    queries = HashingEncoder().transform(query_weights(t.text_queries(spark, sf), points), "text")
+    return search.hybrid_search(points, queries, payload=t.documents(spark, sf))
 
 
 @query
 def hybrid_rrf_filtered(spark, sf):
-    language = F.element_at(F.array(*map(F.lit, ["en", "fr", "de", "es"])), (F.col("query_id") % 4 + 1).cast("int"))
-    queries = t.both_queries(spark, sf).withColumn("label", language)
-    return search.hybrid_search(t.both_documents(spark, sf), queries)
+    points = t.encoded_documents(spark, sf)
+    languages = F.array(*map(F.lit, ["en", "fr", "de", "es"]))
+    language = F.element_at(languages, (F.col("query_id") % 4 + 1).cast("int"))
+    queries = HashingEncoder().transform(query_weights(t.text_queries(spark, sf), points), "text")
+    queries = queries.withColumn("label", language)
+    return search.hybrid_search(points, queries, payload=t.documents(spark, sf))
 
 
 # -- recommendation ---------------------------------------------------------------
@@ -254,8 +262,10 @@ def l2_normalise(spark, sf):
 
 @query
 def sparse_encode(spark, sf):
-    weights = F.posexplode(F.arrays_zip("sparse.indices", "sparse.values")).alias("i", "e")
-    rows = t.sparse_documents(spark, sf).select("id", weights)
+    texts = src.spread(t.documents(spark, sf))
+    encoded = Bm25Encoder.fit(texts, "text").transform(texts, "text")
+    weights = F.explode_outer(F.arrays_zip("sparse.indices", "sparse.values")).alias("e")
+    rows = encoded.select("id", weights).filter("e is not null")
     return rows.select(
         "id", F.col("e.indices").alias("word"), F.round(F.col("e.values").cast("double"), 6).alias("weight")
     )
@@ -263,13 +273,13 @@ def sparse_encode(spark, sf):
 
 @query
 def text_clean(spark, sf):
-    return t.documents(spark, sf).select("id", clean_text(F.col("text")).alias("clean"))
+    return src.spread(t.documents(spark, sf)).select("id", clean_text(F.col("text")).alias("clean"))
 
 
 @query
 def text_clean_stopwords(spark, sf):
     words = tokens(F.col("text"), drop_stop_words=True)
-    rows = t.documents(spark, sf).select("id", words.alias("words"))
+    rows = src.spread(t.documents(spark, sf)).select("id", words.alias("words"))
     return rows.select("id", F.size("words").alias("words_left"), F.array_join("words", " ").alias("clean"))
 
 

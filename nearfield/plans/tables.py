@@ -7,8 +7,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.functions.encode import Bm25Encoder, HashingEncoder, query_weights
+from nearfield.functions.encode import Bm25Encoder, HashingEncoder
 from nearfield.schema import Scenario
+from nearfield.session import stored
 from nearfield.sources.parquet import read_source, spread
 
 # Requests the queries make; the SQL beside them states the same.
@@ -74,22 +75,17 @@ def dense_documents(spark: SparkSession, sf: str) -> DataFrame:
     return HashingEncoder().transform(spread(documents(spark, sf)), "text")
 
 
-def sparse_documents(spark: SparkSession, sf: str) -> DataFrame:
-    texts = spread(documents(spark, sf))
-    return Bm25Encoder.fit(texts, "text").transform(texts, "text")
-
+def encoded_documents(spark: SparkSession, sf: str, dense: bool = True) -> DataFrame:
+    """The documents' vectors, written once: id, label, sparse, dense.
 
-def both_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return HashingEncoder().transform(sparse_documents(spark, sf), "text")
+    Search reads them twice, for word counts and for scores.
+    """
+    texts = spread(documents(spark, sf))
+    encoded = Bm25Encoder.fit(texts, "text").transform(texts, "text")
+    if dense:
+        encoded = HashingEncoder().transform(encoded, "text")
+    return stored(encoded.drop("text", "source", "n_chars"))
 
 
 def dense_queries(spark: SparkSession, sf: str) -> DataFrame:
     return HashingEncoder().transform(text_queries(spark, sf), "text")
-
-
-def sparse_queries(spark: SparkSession, sf: str) -> DataFrame:
-    return query_weights(text_queries(spark, sf), sparse_documents(spark, sf))
-
-
-def both_queries(spark: SparkSession, sf: str) -> DataFrame:
-    return HashingEncoder().transform(sparse_queries(spark, sf), "text")
