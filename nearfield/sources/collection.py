@@ -26,7 +26,8 @@ FIELD_TYPES = {
 
 
 def _quoted(name: str) -> str:
-    return f"`{check_collection_name(name)}`"
+    """The collection's table. Catalog names know no hyphen."""
+    return "`" + check_collection_name(name).replace("-", "_dash_") + "`"
 
 
 def collection_properties(spark: SparkSession, name: str) -> dict[str, str]:
