@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.text import clean_text
 from nearfield.schema import SPARSE_TYPE
+from nearfield.session import MAX_BROADCAST_ROWS
 
 # BM25 saturation and length weight.
 BM25_K1 = 1.2
@@ -123,16 +124,67 @@ class ModelEncoder:
         return df.withColumn(out_col, self.column(F.col(text_col)))
 
 
+def word_counts(text: Column) -> Column:
+    """Sparse vector of how often each word occurs, indexed by 31 bits of its md5."""
+
+    @F.arrow_udf(SPARSE_TYPE)
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = _WordCodes()
+        for batch in batches:
+            rows, codes = _batch_codes(batch, known)
+            words, count = np.unique(rows << 31 | (codes >> 4 & LOW_31_BITS), return_counts=True)
+            sizes = np.bincount(words >> 31, minlength=len(batch))
+            index = (words & LOW_31_BITS).astype(np.int32)
+            yield pa.StructArray.from_arrays(
+                [
+                    _list_array(index, sizes, pa.int32()),
+                    _list_array(count.astype(np.float32), sizes, pa.float32()),
+                ],
+                names=["indices", "values"],
+            )
+
+    return encode(clean_text(text))
+
+
+def _length(counts: Column) -> Column:
+    return F.aggregate(counts["values"], F.lit(0.0), lambda total, x: total + x)
+
+
+def _bm25(counts: Column, mean: Column) -> Column:
+    """Weights of counted words, given the mean text length; the indices stay as they are."""
+
+    @F.arrow_udf("array<float>")
+    def weigh(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for listed, mean_lengths in batches:
+            mean = (mean_lengths[0].as_py() if len(mean_lengths) else None) or 1.0
+            sizes = pa.compute.list_value_length(listed).fill_null(0).to_numpy()
+            row = np.repeat(np.arange(len(listed)), sizes)
+            count = listed.flatten().to_numpy().astype(np.float64)
+            share = np.bincount(row, weights=count, minlength=len(listed)) / mean
+            shrink = BM25_K1 * (1 - BM25_B + BM25_B * share)
+            weight = count * (BM25_K1 + 1) / (count + shrink[row])
+            yield _list_array(weight.astype(np.float32), sizes, pa.float32())
+
+    return F.struct(counts["indices"].alias("indices"), weigh(counts["values"], mean).alias("values"))
+
+
+def bm25_weights(counted: DataFrame, using: str = "sparse") -> DataFrame:
+    """Turns stored word counts into BM25 weights, with one look at the text in all."""
+    mean = counted.agg(F.avg(_length(F.col(using)))).scalar()
+    return counted.withColumn(using, _bm25(F.col(using), mean))
+
+
 class Bm25Encoder:
-    """Sparse default: BM25 weights, indexed by the first 31 bits of the word's md5.
+    """Sparse default: BM25 weights of the words.
 
     A document's values hold the saturated term frequency, a query's values the
     inverse document frequency, so that their inner product is the BM25 score.
-    ``fit`` needs one pass for the mean length; the result stays on the executors.
+    ``fit`` needs a pass of its own for the mean length, which stays on the executors;
+    where counts are stored on the way, ``bm25_weights`` saves that pass.
     """
 
-    def __init__(self, average_length: Column) -> None:
-        self.average_length = average_length
+    def __init__(self, mean_length: Column) -> None:
+        self.mean_length = mean_length
 
     @classmethod
     def fit(cls, df: DataFrame, text_col: str) -> Bm25Encoder:
@@ -140,31 +192,9 @@ class Bm25Encoder:
         words = F.when(clean != "", F.size(F.split(clean, " "))).otherwise(F.lit(0))
         return cls(df.agg(F.avg(words)).scalar())
 
-    def column(self, text: Column) -> Column:
-        @F.arrow_udf(SPARSE_TYPE)
-        def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-            known = _WordCodes()
-            for texts, average in batches:
-                mean = (average[0].as_py() if len(average) else None) or 1.0
-                rows, codes = _batch_codes(texts, known)
-                words, count = np.unique(rows << 31 | (codes >> 4 & LOW_31_BITS), return_counts=True)
-                row, index = words >> 31, words & LOW_31_BITS
-                share = np.bincount(rows, minlength=len(texts)) / mean
-                shrink = BM25_K1 * (1 - BM25_B + BM25_B * share)
-                values = count * (BM25_K1 + 1) / (count + shrink[row])
-                sizes = np.bincount(row, minlength=len(texts))
-                yield pa.StructArray.from_arrays(
-                    [
-                        _list_array(index.astype(np.int32), sizes, pa.int32()),
-                        _list_array(values.astype(np.float32), sizes, pa.float32()),
-                    ],
-                    names=["indices", "values"],
-                )
-
-        return encode(clean_text(text), self.average_length)
-
     def transform(self, df: DataFrame, text_col: str, out_col: str = "sparse") -> DataFrame:
-        return df.withColumn(out_col, self.column(F.col(text_col)))
+        counted = df.withColumn(out_col, word_counts(F.col(text_col)))
+        return counted.withColumn(out_col, _bm25(F.col(out_col), self.mean_length))
 
 
 def query_weights(
@@ -172,8 +202,8 @@ def query_weights(
 ) -> DataFrame:
     """Sparse queries: one inverse document frequency per distinct word.
 
-    ``documents`` holds the encoded collection. Only counts of the words that the
-    queries ask for are kept, and they are counted before they are shuffled.
+    ``documents`` holds the encoded collection. Words that no query asks for drop out
+    where they lie, and the others are counted before they are shuffled.
     """
     code = F.conv(F.substring(F.md5(F.col("word")), 1, 8), 16, 10).cast("bigint")
     words = queries.select(
@@ -181,12 +211,11 @@ def query_weights(
     ).filter("word <> ''")
     asked = words.select("query_id", code.bitwiseAND(LOW_31_BITS).cast("int").alias("index")).distinct()
     # explode_outer: plain explode would add a filter that encodes every text twice.
-    frequency = (
-        documents.select(F.explode_outer(F.col(using)["indices"]).alias("index"))
-        .join(asked.select("index").distinct(), "index", "left_semi")
-        .groupBy("index")
-        .agg(F.count("*").alias("df"))
-    )
+    listed = documents.select(F.explode_outer(F.col(using)["indices"]).alias("index"))
+    vocabulary = asked.select("index").distinct()
+    if vocabulary.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        listed = listed.join(F.broadcast(vocabulary), "index", "left_semi")
+    frequency = listed.groupBy("index").agg(F.count("*").alias("df"))
     total = documents.agg(F.count("*")).scalar()
     idf = F.log1p((total - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.distance import norm
@@ -12,8 +12,8 @@ from nearfield.functions.text import percent
 def label_distribution(points: DataFrame) -> DataFrame:
     """(label, points, percent) of the labelled points, the largest label first."""
     labels = points.select(F.col("label").cast("string").alias("label")).filter("label is not null")
-    total = labels.agg(F.count("*")).scalar()
     counts = labels.groupBy("label").agg(F.count("*").alias("points"))
+    total = counts.agg(F.sum("points")).scalar()
     share = F.round(percent(F.col("points"), total), 6).alias("percent")
     return counts.select("label", "points", share).orderBy(F.desc("points"), "label")
 
@@ -49,10 +49,6 @@ def result_labels(results: DataFrame) -> DataFrame:
     Ordered by label name; sort by ``hits`` for the most frequent first.
     """
     counts = results.groupBy("query_id", "label").agg(F.count("*").alias("hits"))
-    totals = results.groupBy("query_id").agg(F.count("*").alias("all_hits"))
-    share = F.round(percent(F.col("hits"), F.col("all_hits")), 6).alias("percent")
-    return (
-        counts.join(totals, "query_id")
-        .select("query_id", "label", "hits", share)
-        .orderBy("query_id", "label")
-    )
+    whole = F.sum("hits").over(Window.partitionBy("query_id"))
+    share = F.round(percent(F.col("hits"), whole), 6).alias("percent")
+    return counts.select("query_id", "label", "hits", share).orderBy("query_id", "label")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.schema import SCROLL_PAGE
+from nearfield.session import broadcast_if_small
 
 VECTORS = ("dense", "sparse")
 
@@ -30,7 +31,7 @@ def by_ids(
         if len(ids) <= MAX_IN_LIST:
             return parts.filter(F.col("id").isin(ids))
         ids = points.sparkSession.createDataFrame([(i,) for i in ids], "id bigint")
-    return parts.join(ids.select("id"), "id", "left_semi")
+    return parts.join(broadcast_if_small(ids.select("id")), "id", "left_semi")
 
 
 def by_id(points: DataFrame, point_id: int) -> DataFrame:

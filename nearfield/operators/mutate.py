@@ -1,4 +1,8 @@
-"""Upserts, deletes and payload changes, as new versions of a points table."""
+"""Upserts, deletes and payload changes, as new versions of a points table.
+
+A small change (its rows are counted) is broadcast, so that the points stay where they
+are; a large one meets them by id, without a shuffle where the table is bucketed by id.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.predicates import must_not
+from nearfield.session import broadcast_if_small
 
 
 def latest(points: DataFrame, order_by: str) -> DataFrame:
@@ -22,12 +27,12 @@ def upsert(points: DataFrame, new: DataFrame, order_by: str | None = None) -> Da
     """
     if order_by is not None:
         new = latest(new, order_by)
-    return points.join(new.select("id"), "id", "left_anti").unionByName(new)
+    return delete_ids(points, new).unionByName(new)
 
 
 def delete_ids(points: DataFrame, ids: DataFrame) -> DataFrame:
     """Without the points listed in ``ids``; ids that are no points do nothing."""
-    return points.join(ids.select("id"), "id", "left_anti")
+    return points.join(broadcast_if_small(ids.select("id")), "id", "left_anti")
 
 
 def delete_where(points: DataFrame, condition: Column) -> DataFrame:
@@ -66,7 +71,7 @@ def set_payloads(points: DataFrame, updates: DataFrame, order_by: str | None = N
         updates = last.groupBy("id").agg(folded.alias("payload"))
     new = updates.select("id", F.col("payload").alias("new_payload"))
     return (
-        points.join(new, "id", "left")
+        points.join(broadcast_if_small(new), "id", "left")
         .withColumn("payload", merged(F.col("payload"), F.col("new_payload")))
         .drop("new_payload")
         .select(*points.columns)

@@ -34,6 +34,9 @@ GRID_AXES = 3
 # A grid pays once a cell is this much narrower than the range of random shadows.
 GRID_GAIN = 0.5
 ROUNDING = 10.0**-SCORE_DIGITS
+# Up to this many rows per group (spark.sql.optimizer.windowGroupLimitThreshold) are kept
+# by tasks before the shuffle.
+GROUP_LIMIT = 1000
 
 _PAIR_SCHEMA = "id_a bigint, id_b bigint, score double"
 _PAIR_ARROW = pa.schema([("id_a", pa.int64()), ("id_b", pa.int64()), ("score", pa.float64())])
@@ -152,8 +155,20 @@ def _few_copies(vectors: DataFrame, n: int) -> DataFrame:
     Exact for the n best pairs: a pair with a later copy ranks behind at least n + 1
     pairs of the same score in which one of the kept copies takes its place.
     """
-    same = Window.partitionBy(F.xxhash64("dense"), "dense").orderBy("id")
-    return vectors.withColumn("copy", F.row_number().over(same)).filter(F.col("copy") <= n + 1).drop("copy")
+    keys = [F.xxhash64("dense"), F.col("dense")]
+    if n >= GROUP_LIMIT:
+        # Spark then no longer cuts the groups before it shuffles them: split each first.
+        vectors = _first_copies(vectors, [*keys, F.pmod(F.xxhash64("id"), F.lit(GROUP_LIMIT))], n + 1)
+    return _first_copies(vectors, keys, n + 1)
+
+
+def _first_copies(vectors: DataFrame, keys: list[Column], count: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
+    return vectors.withColumn("copy", place).filter(F.col("copy") <= count).drop("copy")
+
+
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _block_counts(members: DataFrame) -> DataFrame:
@@ -178,12 +193,13 @@ def _compare_blocks(members: DataFrame, n: int, floor: float | None) -> DataFram
         ),
     )
     # The explicit repartition spreads the block pairs of one crowded cell over tasks:
-    # rows already lying together by cell would otherwise be grouped where they are.
+    # rows already lying together by cell would otherwise be grouped where they are. Its
+    # number of tasks is fixed, since comparing is much work on few bytes.
     meeting = (
         members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
         .withColumn("pair", F.explode(partners))
         .select("cell", F.col("pair.lo").alias("lo"), F.col("pair.hi").alias("hi"), "id", "dense", "block", "home")
-        .repartition("cell", "lo", "hi")
+        .repartition(_tasks(members), "cell", "lo", "hi")
     )
 
     def compare(group: pa.Table) -> pa.Table:
@@ -228,7 +244,7 @@ def _floor_score(vectors: DataFrame, n: int) -> float | None:
     found = (
         vectors.withColumn("size", F.size("dense"))
         .withColumn("code", code)
-        .repartitionByRange("size", "code", "id")
+        .repartitionByRange(_tasks(vectors), "size", "code", "id")
         .sortWithinPartitions("size", "code", "id")
         .select("id", "dense")
         .mapInArrow(compare, _PAIR_SCHEMA)
@@ -332,7 +348,8 @@ def band_members(points: DataFrame, n: int, bits: int, bands: int, using: str =
     if crowded:
         coded = stored(coded)
     size, band = F.size("dense").cast("bigint"), F.col("band").cast("bigint")
-    members = coded.select("id", "dense", F.posexplode("codes").alias("band", "code")).select(
+    # the outer form: the plain one adds a filter on the codes, which would be made twice
+    members = coded.select("id", "dense", F.posexplode_outer("codes").alias("band", "code")).select(
         F.array(size, band, "code").alias("cell"), "id", "dense", F.lit(True).alias("home")
     )
     if not crowded:

@@ -110,11 +110,8 @@ def recommend_by_label(
 
     A positive label that no point carries is an error.
     """
-    labels = points.select(F.col("label").cast("string").alias("positive_label"))
-    unknown = requests.select(F.col("positive_label").cast("string")).join(
-        labels, "positive_label", "left_anti"
-    )
-    missing = unknown.first()
+    examples = stored(label_examples(points, requests))
+    missing = requests.join(examples.filter("positive"), "query_id", "left_anti").first()
     if missing is not None:
-        raise ValueError(f"no points found with positive label: {missing[0]}")
-    return recommend(points, label_examples(points, requests), k, distance, None, condition, using)
+        raise ValueError(f"no points found with positive label: {missing['positive_label']}")
+    return recommend(points, examples, k, distance, None, condition, using)

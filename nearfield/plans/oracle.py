@@ -323,9 +323,9 @@ SQL["approx_similar_pairs"] = (
         """
     h AS (SELECT h, list(CASE WHEN ('0x' || substr(md5(h || '_' || i), 1, 1))::INT < 8 THEN 1.0::DOUBLE
                               ELSE -1.0::DOUBLE END ORDER BY i) AS w
-          FROM range(5 * 24) a(h), range(64) b(i) GROUP BY h),
-    c AS (SELECT id, h // 5 AS band, sum(CASE WHEN list_dot_product(dense::DOUBLE[], w) >= 0
-                                              THEN 1 << (h % 5) ELSE 0 END) AS code
+          FROM range(7 * 64) a(h), range(64) b(i) GROUP BY h),
+    c AS (SELECT id, h // 7 AS band, sum(CASE WHEN list_dot_product(dense::DOUBLE[], w) >= 0
+                                              THEN 1 << (h % 7) ELSE 0 END) AS code
           FROM p, h GROUP BY ALL),
     k AS (SELECT DISTINCT a.id AS one, b.id AS two FROM c a JOIN c b USING (band, code) WHERE a.id < b.id)""".strip(),
     ).rstrip()

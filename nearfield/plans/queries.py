@@ -15,7 +15,7 @@ from nearfield.operators import analytics, lookup, mutate, pairs, recommend, rep
 from nearfield.plans import tables as t
 from nearfield.plans.ingest import points_of
 from nearfield.schema import Scenario
-from nearfield.session import shared_dir
+from nearfield.session import broadcast_if_small, shared_dir
 from nearfield.sources import collection as c
 from nearfield.sources import parquet as src
 from nearfield.streaming import ingest as stream
@@ -101,7 +101,7 @@ def distances(spark, sf):
     centre = t.centroids(spark, sf).select(
         F.col("query_id").cast("string").alias("label"), F.col("dense").alias("centre")
     )
-    rows = t.embeddings(spark, sf).join(centre, "label")
+    rows = t.embeddings(spark, sf).join(broadcast_if_small(centre), "label")
     return rows.select(
         "id", *[dist.score(F.col("dense"), F.col("centre"), d).alias(d.lower()) for d in dist.DISTANCES]
     )
@@ -233,7 +233,7 @@ def similar_document_pairs(spark, sf):
 
 @query
 def approx_similar_pairs(spark, sf):
-    return pairs.approximate_similar_pairs(t.embeddings(spark, sf), 50, bits=5, bands=24)
+    return pairs.approximate_similar_pairs(t.embeddings(spark, sf), 50, bits=7, bands=64)
 
 
 # -- encoders and text ------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.functions.encode import Bm25Encoder, HashingEncoder
+from nearfield.functions.encode import HashingEncoder, bm25_weights, word_counts
 from nearfield.schema import Scenario
 from nearfield.session import stored
 from nearfield.sources.parquet import read_source, spread
@@ -81,10 +81,10 @@ def encoded_documents(spark: SparkSession, sf: str, dense: bool = True) -> DataF
     Search reads them twice, for word counts and for scores.
     """
     texts = spread(documents(spark, sf))
-    encoded = Bm25Encoder.fit(texts, "text").transform(texts, "text")
+    counted = texts.withColumn("sparse", word_counts(F.col("text")))
     if dense:
-        encoded = HashingEncoder().transform(encoded, "text")
-    return stored(encoded.drop("text", "source", "n_chars"))
+        counted = HashingEncoder().transform(counted, "text")
+    return bm25_weights(stored(counted.drop("text", "source", "n_chars")))
 
 
 def dense_queries(spark: SparkSession, sf: str) -> DataFrame:
