@@ -448,6 +448,11 @@ SELECT doc_id AS id, text, lang AS label, 64 AS dim,
 FROM documents"""
 )
 SQL["shard_search"] = _centre_search(score=_cosine("p.dense", "q.dense"), where="p.label = '3'")
+SQL["described_collection"] = f"""
+SELECT 2 * count(*) AS points, 2 * count(embedding) AS vectors, count(label) AS labelled,
+       min(len(embedding))::INT AS min_size, max(len(embedding))::INT AS max_size,
+       round(avg(sqrt({_dot("embedding", "embedding")})), 6) AS mean_norm,
+       64::INT AS declared_size, 'Dot' AS distance FROM embeddings"""
 SQL["typed_field_filter"] = (
     "SELECT doc_id AS id, lang, n_chars FROM documents WHERE lang = 'en' AND n_chars >= 2000"
 )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -489,14 +490,14 @@ def payload_drop_fields(spark, sf):
 # -- collections and streams ------------------------------------------------------
 
 
-def _fresh_name(spark, stem: str) -> str:
-    return f"{stem}_{shared_dir(spark).rsplit('/', 1)[-1]}"
+def _fresh_name(stem: str) -> str:
+    return f"{stem}_{uuid4().hex}"
 
 
 @query
 def ingest_collection(spark, sf):
     """Source to collection and back: ids, columns, payload and vector size."""
-    name = _fresh_name(spark, "documents")
+    name = _fresh_name("documents")
     source = t.table(spark, sf, "documents")
     sparse = Bm25Encoder.fit(src.spread(source), "text")
     points = points_of(source, t.DOCUMENTS, HashingEncoder(), sparse)
@@ -511,17 +512,29 @@ def ingest_collection(spark, sf):
 @query
 def shard_search(spark, sf):
     """Search within one shard key value, which reads that partition only."""
-    name = _fresh_name(spark, "sharded")
+    name = _fresh_name("sharded")
     c.create_collection(spark, name, 64, shard_key="label", external=True)
     c.add_points(spark, name, t.embeddings(spark, sf))
     shard = c.open_collection(spark, name, shards=["3"])
     return _hits(search.dense_search(shard, t.centroids(spark, sf)))
 
 
+@query
+def described_collection(spark, sf):
+    """Statistics of a saved collection, after an upsert was saved as its new version."""
+    name = _fresh_name("described")
+    c.create_collection(spark, name, 64, distance="Dot", external=True)
+    c.add_points(spark, name, t.embeddings(spark, sf))
+    points = c.open_collection(spark, name)
+    fresh = points.withColumn("id", F.col("id") + 1_000_000).withColumn("label", F.lit(None).cast("string"))
+    c.replace_points(spark, name, mutate.upsert(points, fresh))
+    return c.describe_collection(spark, name).drop("collection")
+
+
 @query
 def typed_field_filter(spark, sf):
     """Payload fields as typed columns of a collection that is laid out by them."""
-    name = _fresh_name(spark, "typed")
+    name = _fresh_name("typed")
     c.create_collection(spark, name, 64, external=True)
     c.add_points(spark, name, t.payload_points(spark, sf))
     c.declare_field(spark, name, "lang", "keyword")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.distance import check_distance
+from nearfield.operators.analytics import collection_stats
 from nearfield.schema import DEFAULT_SHARDS, POINT_SCHEMA, check_collection_name
 from nearfield.session import shared_dir
 
@@ -42,25 +43,34 @@ def list_fields(spark: SparkSession, name: str) -> dict[str, str]:
     return {k[len("field.") :]: v for k, v in given.items() if k.startswith("field.")}
 
 
-def _write(spark: SparkSession, name: str, points: DataFrame, given: dict[str, str], external: bool) -> None:
-    shards, key = int(given["shards"]), given.get("shard_key")
+def _arranged(points: DataFrame, given: dict[str, str]) -> DataFrame:
+    """The points as the collection's files want them.
+
+    Declared fields: neighbouring values share files, whose min and max then skip them;
+    the id splits a value that very many points have. Shard key: one value's rows lie
+    together, a crowded value is split by size. Otherwise: each task holds one bucket.
+    """
+    spark, shards, key = points.sparkSession, int(given["shards"]), given.get("shard_key")
     fields = [k[len("field.") :] for k in given if k.startswith("field.")]
-    tasks = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if fields:
-        # Neighbouring values share files, whose min and max then skip them; the id
-        # splits a value that very many points have.
         order = [*([key] if key else []), *[f for f in fields if f != key], "id"]
         order = [f"`{c}`" for c in order]
-        writer = points.repartitionByRange(tasks, *order).sortWithinPartitions(*order).write
-    else:
-        # A multiple of the shards: every task then holds rows of one bucket only.
-        aligned = points.repartition(shards * -(-tasks // shards), "id")
-        writer = aligned.write.bucketBy(shards, "id").sortBy("id")
+        return points.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     if key:
-        writer = writer.partitionBy(key)
-    if external:
+        return points.hint("rebalance", key)
+    return points.repartition(shards * -(-tasks // shards), "id")
+
+
+def _write(spark: SparkSession, name: str, points: DataFrame, given: dict[str, str]) -> None:
+    writer = _arranged(points, given).write.format("parquet")
+    if given.get("shard_key"):
+        writer = writer.partitionBy(given["shard_key"])
+    elif not any(k.startswith("field.") for k in given):
+        writer = writer.bucketBy(int(given["shards"]), "id").sortBy("id")
+    if given.get("external") == "true":
         writer = writer.option("path", shared_dir(spark, "collections", name))
-    writer.format("parquet").saveAsTable(_quoted(name))
+    writer.saveAsTable(_quoted(name))
     pairs = ", ".join(f"'{_PREFIX}{k}' = '{v}'" for k, v in given.items())
     spark.sql(f"ALTER TABLE {_quoted(name)} SET TBLPROPERTIES ({pairs})")
 
@@ -94,7 +104,7 @@ def create_collection(
         given["shard_key"] = shard_key
     if external:
         given["external"] = "true"
-    _write(spark, name, empty, given, external)
+    _write(spark, name, empty, given)
 
 
 def recreate_collection(spark: SparkSession, name: str, dim: int, **options) -> None:
@@ -127,25 +137,43 @@ def open_collection(spark: SparkSession, name: str, shards: list | None = None)
     return points.filter(F.col(f"`{key}`").isin(shards))
 
 
+def _of_size(vector: Column, dim: int) -> Column:
+    """The vector, if it has the collection's size; the write fails where it has not."""
+    wrong = F.raise_error(F.concat(F.lit(f"vector size must be {dim}, not "), F.size(vector)))
+    return F.when(vector.isNull() | (F.size(vector) == dim), vector).otherwise(wrong)
+
+
 def add_points(spark: SparkSession, name: str, points: DataFrame) -> None:
-    """Appends points whose ids are new; ``replace_points`` saves an upsert."""
-    target = spark.table(_quoted(name))
+    """Appends points whose ids are new; ``replace_points`` saves an upsert.
+
+    Columns the points lack stay null; a vector of another size is an error.
+    """
+    given = collection_properties(spark, name)
+    columns = []
+    for f in spark.table(_quoted(name)).schema:
+        value = F.col(f"`{f.name}`") if f.name in points.columns else F.lit(None)
+        value = value.cast(f.dataType)
+        if f.name == "dense":
+            value = _of_size(value, int(given["dim"]))
+        columns.append(value.alias(f.name))
+    _arranged(points.select(*columns), given).write.insertInto(_quoted(name))
+
+
+def describe_collection(spark: SparkSession, name: str) -> DataFrame:
+    """One row: what the points hold, beside the size and distance declared."""
     given = collection_properties(spark, name)
-    missing = [F.lit(None).alias(c) for c in target.columns if c not in points.columns]
-    rows = points.select("*", *missing).select(
-        *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in target.schema]
+    return collection_stats(open_collection(spark, name)).select(
+        F.lit(name).alias("collection"),
+        "*",
+        F.lit(int(given["dim"])).alias("declared_size"),
+        F.lit(given["distance"]).alias("distance"),
     )
-    if list_fields(spark, name):
-        rows.write.insertInto(_quoted(name))
-        return
-    shards, tasks = int(given["shards"]), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(shards * -(-tasks // shards), "id").write.insertInto(_quoted(name))
 
 
 def _swap(spark: SparkSession, name: str, points: DataFrame, given: dict[str, str]) -> None:
     following, former = f"{name}__next", f"{name}__former"
     spark.sql(f"DROP TABLE IF EXISTS {_quoted(following)}")
-    _write(spark, following, points, given, given.get("external") == "true")
+    _write(spark, following, points, given)
     spark.sql(f"DROP TABLE IF EXISTS {_quoted(former)}")
     spark.sql(f"ALTER TABLE {_quoted(name)} RENAME TO {_quoted(former)}")
     spark.sql(f"ALTER TABLE {_quoted(following)} RENAME TO {_quoted(name)}")

@@ -62,6 +62,15 @@ def test_bad_arguments(spark):
         c.create_collection(spark, "x;y", 2)
 
 
+def test_vectors_of_another_size_are_refused(spark):
+    c.create_collection(spark, "sized", 3)
+    with pytest.raises(Exception, match="vector size must be 3, not 2"):
+        c.add_points(spark, "sized", rows(spark))
+    c.add_points(spark, "sized", rows(spark).drop("dense", "payload"))
+    row = c.describe_collection(spark, "sized").first()
+    assert (row.points, row.vectors, row.declared_size, row.distance) == (20, 0, 3, "Cosine")
+
+
 def test_shard_key_prunes_partitions(spark):
     c.create_collection(spark, "sharded", 2, shard_key="label")
     c.add_points(spark, "sharded", rows(spark))
