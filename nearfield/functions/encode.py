@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.functions.text import clean_text
+from nearfield.functions.text import bare_text, clean_text, word_count
 from nearfield.schema import SPARSE_TYPE
 from nearfield.session import MAX_BROADCAST_ROWS
 
@@ -38,13 +38,13 @@ class _WordCodes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= WORD_CACHE:
             self.clear()
-        code = self[word] = int(md5(word.encode()).hexdigest()[:9], 16)
+        code = self[word] = int.from_bytes(md5(word.encode()).digest()[:5], "big") >> 4
         return code
 
 
-def _batch_codes(cleaned: pa.Array, known: _WordCodes) -> tuple[np.ndarray, np.ndarray]:
-    """(row number, word code) of every word in a batch of cleaned texts."""
-    codes = [[known[w] for w in (text or "").split()] for text in cleaned.to_pylist()]
+def _batch_codes(texts: pa.Array, known: _WordCodes) -> tuple[np.ndarray, np.ndarray]:
+    """(row number, word code) of every word in a batch of texts without punctuation."""
+    codes = [[known[w] for w in (text or "").split()] for text in texts.to_pylist()]
     sizes = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes))
     flat = np.fromiter(chain.from_iterable(codes), dtype=np.int64, count=int(sizes.sum()))
     return np.repeat(np.arange(len(codes)), sizes), flat
@@ -83,7 +83,7 @@ class HashingEncoder:
                 flat = vectors.astype(np.float32).ravel()
                 yield _list_array(flat, [dim] * len(batch), pa.float32())
 
-        return encode(clean_text(text))
+        return encode(bare_text(text))
 
     def transform(self, df: DataFrame, text_col: str, out_col: str = "dense") -> DataFrame:
         return df.withColumn(out_col, self.column(F.col(text_col)))
@@ -143,7 +143,7 @@ def word_counts(text: Column) -> Column:
                 names=["indices", "values"],
             )
 
-    return encode(clean_text(text))
+    return encode(bare_text(text))
 
 
 def _length(counts: Column) -> Column:
@@ -188,8 +188,7 @@ class Bm25Encoder:
 
     @classmethod
     def fit(cls, df: DataFrame, text_col: str) -> Bm25Encoder:
-        clean = clean_text(F.col(text_col))
-        words = F.when(clean != "", F.size(F.split(clean, " "))).otherwise(F.lit(0))
+        words = F.coalesce(word_count(F.col(text_col)), F.lit(0))
         return cls(df.agg(F.avg(words)).scalar())
 
     def transform(self, df: DataFrame, text_col: str, out_col: str = "sparse") -> DataFrame:

@@ -27,10 +27,18 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
+def bare_text(text: Column) -> Column:
+    """Lower-case, without punctuation."""
+    return F.regexp_replace(F.lower(text), PUNCTUATION_PATTERN, "")
+
+
 def clean_text(text: Column) -> Column:
     """Lower-case, drop punctuation, fold runs of blanks into one space."""
-    bare = F.regexp_replace(F.lower(text), PUNCTUATION_PATTERN, "")
-    return F.trim(F.regexp_replace(bare, MULTIPLE_SPACES_PATTERN, " "))
+    return F.trim(F.regexp_replace(bare_text(text), MULTIPLE_SPACES_PATTERN, " "))
+
+
+def word_count(text: Column) -> Column:
+    return F.regexp_count(bare_text(text), F.lit(rf"[^{BLANK}]+"))
 
 
 def tokens(text: Column, drop_stop_words: bool = False) -> Column:

@@ -57,6 +57,12 @@ def test_truncate_counts_the_dots(spark, length, limit):
     assert one(spark, tx.truncate(F.col("t"), limit), t=text) == want
 
 
+def test_word_count(spark):
+    for text in ("The cat, the CAT", " ..  ", "", "a　b\x85c\n"):
+        got = one(spark, tx.word_count(F.col("t")), t=text)
+        assert got == one(spark, F.size(tx.tokens(F.col("t"))), t=text)
+
+
 def test_preview_and_score(spark):
     assert one(spark, tx.preview(F.col("t")), t="x" * 60) == "x" * 50 + "..."
     assert one(spark, tx.preview(F.col("t")), t="ab") == "ab..."
