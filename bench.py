@@ -1,6 +1,6 @@
 """Times the headline queries and prints one JSON line.
 
-Each query runs once to warm up and then three times; the median counts. Results go to
+Each query runs once to warm up and then twice; the median counts. Results go to
 the noop sink, so that all rows and columns are computed. BENCH_SF_DIR and BENCH_CPUS
 name the data and the cores; BENCH_QUERIES may name the queries (or ``all``), and
 BENCH_RUNS the number of timed runs.
@@ -50,7 +50,7 @@ HEADLINES = (
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("nearfield-bench")

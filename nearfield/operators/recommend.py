@@ -30,11 +30,12 @@ def example_vectors(
 ) -> DataFrame:
     """(query_id, vector): mean of the positives, plus its lead over the negatives' mean.
 
-    Under cosine the examples count as unit vectors. Ids that are no points do not
-    count, and a request without any positive point has no vector.
+    Under cosine the examples count as unit vectors. Ids that are no points, or points
+    without a vector, do not count; a request without any positive point has no vector.
     """
     vector = l2_normalise(F.col(using)) if distance == "Cosine" else F.col(using)
-    chosen = points.join(examples, "id").select("query_id", "positive", vector.alias("v"))
+    chosen = points.filter(F.col(using).isNotNull()).join(examples, "id")
+    chosen = chosen.select("query_id", "positive", vector.alias("v"))
     mean = vector_to_array(Summarizer.mean(array_to_vector("v")))
     sides = chosen.groupBy("query_id", "positive").agg(mean.alias("mean"))
     both = sides.groupBy("query_id").agg(

@@ -56,6 +56,12 @@ def test_by_label_takes_the_first_five(spark, points, vectors):
     assert got[1] == brute(vectors, wanted(vectors, heads["b"], []), "Cosine", 7, lambda i: i not in heads["b"] and i != 8)
 
 
+def test_examples_without_a_vector_do_not_count(spark):
+    points = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id bigint, dense array<double>")
+    requests = spark.createDataFrame([(0, [1, 2]), (1, [2])], "query_id bigint, positive_ids array<bigint>")
+    assert found(recommend.recommend(points, recommend.examples_of(requests))) == {0: [(3, 0.0)]}
+
+
 def test_unknown_positive_label(spark, points):
     requests = spark.createDataFrame([(0, "missing")], "query_id bigint, positive_label string")
     with pytest.raises(ValueError, match="no points found with positive label: missing"):
