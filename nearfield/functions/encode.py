@@ -33,7 +33,7 @@ class Encoder(Protocol):
 
 
 class _WordCodes(dict):
-    """word -> first 36 bits of its md5, remembered."""
+    """word -> first 36 bits of its md5, remembered while a task runs."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= WORD_CACHE:
@@ -67,21 +67,20 @@ class HashingEncoder:
 
     def column(self, text: Column) -> Column:
         dim, normalise = self.dim, self.normalise
+        known = _WordCodes()
 
         @F.arrow_udf("array<float>")
-        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            known = _WordCodes()
-            for batch in batches:
-                rows, codes = _batch_codes(batch, known)
-                sign = np.where(codes & 15 < 8, 1.0, -1.0)
-                cells = rows * dim + (codes >> 4) % dim
-                counts = np.bincount(cells, weights=sign, minlength=len(batch) * dim)
-                vectors = counts.reshape(len(batch), dim)
-                if normalise:
-                    length = np.sqrt((vectors**2).sum(axis=1, keepdims=True))
-                    vectors /= np.where(length > 0, length, 1)
-                flat = vectors.astype(np.float32).ravel()
-                yield _list_array(flat, [dim] * len(batch), pa.float32())
+        def encode(batch: pa.Array) -> pa.Array:
+            rows, codes = _batch_codes(batch, known)
+            sign = np.where(codes & 15 < 8, 1.0, -1.0)
+            cells = rows * dim + (codes >> 4) % dim
+            counts = np.bincount(cells, weights=sign, minlength=len(batch) * dim)
+            vectors = counts.reshape(len(batch), dim)
+            if normalise:
+                length = np.sqrt((vectors**2).sum(axis=1, keepdims=True))
+                vectors = vectors / np.where(length > 0, length, 1)
+            flat = vectors.astype(np.float32).ravel()
+            return _list_array(flat, [dim] * len(batch), pa.float32())
 
         return encode(bare_text(text))
 
@@ -127,21 +126,21 @@ class ModelEncoder:
 def word_counts(text: Column) -> Column:
     """Sparse vector of how often each word occurs, indexed by 31 bits of its md5."""
 
+    known = _WordCodes()
+
     @F.arrow_udf(SPARSE_TYPE)
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = _WordCodes()
-        for batch in batches:
-            rows, codes = _batch_codes(batch, known)
-            words, count = np.unique(rows << 31 | (codes >> 4 & LOW_31_BITS), return_counts=True)
-            sizes = np.bincount(words >> 31, minlength=len(batch))
-            index = (words & LOW_31_BITS).astype(np.int32)
-            yield pa.StructArray.from_arrays(
-                [
-                    _list_array(index, sizes, pa.int32()),
-                    _list_array(count.astype(np.float32), sizes, pa.float32()),
-                ],
-                names=["indices", "values"],
-            )
+    def encode(batch: pa.Array) -> pa.Array:
+        rows, codes = _batch_codes(batch, known)
+        words, count = np.unique(rows << 31 | (codes >> 4 & LOW_31_BITS), return_counts=True)
+        sizes = np.bincount(words >> 31, minlength=len(batch))
+        index = (words & LOW_31_BITS).astype(np.int32)
+        return pa.StructArray.from_arrays(
+            [
+                _list_array(index, sizes, pa.int32()),
+                _list_array(count.astype(np.float32), sizes, pa.float32()),
+            ],
+            names=["indices", "values"],
+        )
 
     return encode(bare_text(text))
 
