@@ -1,32 +1,55 @@
-"""A training corpus from ``documents``: five stages, each written and read again by the next."""
+"""A training corpus from ``documents``: five stages, each written and read again by the next.
+
+Every stage takes all that the one before kept; all but the last return the columns of
+``documents``, and the last adds each document's domain and epochs. Empty tables, nulls,
+repeated rows and other columns pass as the operators say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import quality, simhash
+from nearfield.llm import decontaminate, quality, simhash, substrings
 from nearfield.llm.common import stored, table
-
-Docs = DataFrame
+from nearfield.llm.queries import mixture
 
 
-def quality_filter(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
-    """Documents that the quality classifier accepts."""
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from the labelled documents."""
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality.accepted(docs, model)
 
 
-def near_dedup(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
-    """One document of each group of near duplicates."""
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the least id."""
     return simhash.keep_one(docs)
 
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has; n_chars counts what is left."""
+    cut = substrings.remove_repeats(docs, words_col="its_words", removed_col="its_removed")
+    return substrings.recounted(cut, docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mixture takes, with their domain and how many epochs take them."""
+    return mixture(docs)
+
+
 STAGES = [
     ("quality classifier", quality_filter),
     ("simhash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing to target weights", mixing),
 ]
 
-# The classifier and the fingerprints have no SQL form; tests hold the stages against plain code.
+# Classifier, fingerprints and templates have no SQL form; tests hold the stages against plain code.
 ORACLE_SQL = None
 
 

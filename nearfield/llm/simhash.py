@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import Batches, each_batch, stored, words_of
+from nearfield.session import broadcast_if_small
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -286,7 +287,10 @@ def _with_unnamed(prints: DataFrame, named: DataFrame, unnamed: DataFrame, radiu
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that of the least id; rows without an id stay."""
+    """``docs`` with one document of each component, that of the least id; rows without an id stay.
+
+    Rows that repeat an id are one document.
+    """
     found = near_duplicates(docs, id_col, text_col)
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+    dropped = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct())
+    return docs.join(broadcast_if_small(dropped), id_col, "left_anti").select(*docs.columns)
