@@ -12,9 +12,12 @@ batch by batch, and again in the shard.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +29,11 @@ ANCHOR = 6
 # Anchors with more stretches than this are dealt by window.
 FREQUENT = 4_096
 # Stretches for each shard, before equal ones are reduced.
-SHARD_STRETCHES = 60_000
+SHARD_STRETCHES = 40_000
 
-PLACES = pa.list_(pa.struct([("id", pa.int64()), ("part", pa.int64()), ("start", pa.int32())]))
-STRETCHES = "key bigint, id bigint, part bigint, start int, n int, words binary"
+PLACES = "anchor bigint, ids array<bigint>, parts array<bigint>, starts array<int>"
+# Stretches of one batch for one shard: their places, numbers of windows, and words by lines.
+BUNDLES = "shard bigint, ids binary, parts binary, starts binary, ns binary, words binary"
 SPANS = "id bigint, part bigint, first int, last int"
 
 
@@ -82,7 +86,7 @@ def _keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, str, str]:
 
 
 def _anchors(keyed: DataFrame, id_name: str, part_name: str, window: int, anchor: int) -> DataFrame:
-    """anchor, places: where its stretches start, a row for each anchor of each batch."""
+    """Each anchor of each batch, with the texts and words where its stretches start."""
 
     def run(batches: Batches) -> Batches:
         known = WordHashes()
@@ -94,17 +98,16 @@ def _anchors(keyed: DataFrame, id_name: str, part_name: str, window: int, anchor
             order = np.argsort(hashes, kind="stable")
             hashes = hashes[order]
             first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-            ids, names = batch.column(0).take(pa.array(text[order])), batch.column(1).take(pa.array(text[order]))
-            places = pa.StructArray.from_arrays([ids, names, pa.array(start[order], pa.int32())], fields=list(PLACES.value_type))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(hashes)), pa.int32()), places)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), lists], names=["anchor", "places"])
+            bounds, text = pa.array(np.append(first, len(hashes)), pa.int32()), pa.array(text[order])
+            lists = [batch.column(0).take(text), batch.column(1).take(text), pa.array(start[order], pa.int32())]
+            columns = [pa.array(hashes[first].view(np.int64)), *(pa.ListArray.from_arrays(bounds, c) for c in lists)]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "ids", "parts", "starts"])
 
-    schema = "anchor bigint, places array<struct<id: bigint, part: bigint, start: int>>"
-    return keyed.select(id_name, part_name, "text").mapInArrow(run, schema)
+    return keyed.select(id_name, part_name, "text").mapInArrow(run, PLACES)
 
 
-def _cut_stretches(joined: DataFrame, id_name: str, part_name: str, window: int, anchor: int) -> DataFrame:
-    """The stretches of repeated anchors, their words null where the batch has them earlier."""
+def _cut_stretches(joined: DataFrame, id_name: str, part_name: str, window: int, anchor: int, n_shards: int) -> DataFrame:
+    """The stretches of repeated anchors, without words where the batch has equal ones earlier."""
     at = {name: joined.columns.index(name) for name in (id_name, part_name, "text", "hits")}
 
     def run(batches: Batches) -> Batches:
@@ -113,7 +116,7 @@ def _cut_stretches(joined: DataFrame, id_name: str, part_name: str, window: int,
             ids, names = (batch.column(at[c]).to_pylist() for c in (id_name, part_name))
             words, sizes, codes = _batch_words(batch.column(at["text"]), known)
             text, start, n, hashes = _stretches(codes, sizes, window, anchor)
-            hits = [{h["start"]: h["often"] for h in hs.as_py()} for hs in batch.column(at["hits"])]
+            hits = [{h >> 1: h & 1 for h in hs} for hs in batch.column(at["hits"]).to_pylist()]
             least: dict[bytes, tuple] = {}
             rows: list[tuple] = []
 
@@ -127,7 +130,7 @@ def _cut_stretches(joined: DataFrame, id_name: str, part_name: str, window: int,
                 elif old[1:4] != place:
                     late = max(old, new, key=lambda r: r[1:4])
                     # Equal words start earlier elsewhere in the batch: all of these go.
-                    rows.append((xxhash.xxh64_intdigest(repr(late[1:4]).encode(), 1), *late[1:5], None))
+                    rows.append((*late[:5], b""))
                     if late is old:
                         least[stretch] = new
 
@@ -142,13 +145,38 @@ def _cut_stretches(joined: DataFrame, id_name: str, part_name: str, window: int,
                         add(None, (ids[t], names[t], k), 1, b" ".join(words[t][k : k + window]))
             rows.extend(least.values())
             if rows:
-                key, *rest = zip(*rows)
-                signed = np.array(key, np.uint64).view(np.int64)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                columns = [pa.array(signed), *(pa.array(c, k) for c, k in zip(rest, kinds))]
-                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in STRETCHES.split(", ")])
+                yield _bundled(rows, n_shards)
+
+    return joined.mapInArrow(run, BUNDLES)
+
+
+def _bundled(rows: list[tuple], n_shards: int) -> pa.RecordBatch:
+    """(key, id, part, start, n, words) rows, gathered by shard."""
+    key, ids, names, starts, ns = (np.array(c, k) for c, k in zip(zip(*(r[:5] for r in rows)), (np.uint64, *[np.int64] * 4)))
+    shard = (key % np.uint64(n_shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    packer = zstandard.ZstdCompressor(level=1)
+    groups = np.split(order, cuts)
+    return pa.RecordBatch.from_pydict(
+        {
+            "shard": pa.array([int(shard[g[0]]) for g in groups], pa.int64()),
+            "ids": [ids[g].astype("<i8").tobytes() for g in groups],
+            "parts": [names[g].astype("<i8").tobytes() for g in groups],
+            "starts": [starts[g].astype("<i4").tobytes() for g in groups],
+            "ns": [ns[g].astype("<i4").tobytes() for g in groups],
+            "words": [packer.compress(b"\n".join([rows[i][5] for i in g.tolist()])) for g in groups],
+        }
+    )
+
 
-    return joined.mapInArrow(run, STRETCHES)
+def _unbundled(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int, int], int, bytes]]:
+    """(place, n, words) of each stretch; empty words stand for words that an earlier place has."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for row in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
+        columns = [np.frombuffer(c, k).tolist() for c, k in zip(row, ("<i8", "<i8", "<i4", "<i4"))]
+        for i, part, start, n, words in zip(*columns, unpack(row[4]).split(b"\n")):
+            yield (i, part, start), n, words
 
 
 def _shard_spans(stretches: list[tuple[tuple, bytes]], window: int) -> list[tuple]:
@@ -189,9 +217,8 @@ def _spans(dealt: DataFrame, window: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(made, names=[c.split()[0] for c in SPANS.split(", ")])
 
         for batch in batches:
-            for _, *place, n, words in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                place = tuple(place)
-                old = least.setdefault(words, place) if words is not None else None
+            for place, n, words in _unbundled(batch):
+                old = least.setdefault(words, place) if words else None
                 if old is None or old != place:
                     late = place if old is None else max(old, place)
                     spans.append((late[0], late[1], late[2], late[2] + n + window - 1))
@@ -232,19 +259,20 @@ def remove_repeats(
     docs = docs.drop(*(c for c in docs.columns if c.lower() in (words_col.lower(), removed_col.lower())))
     keyed, id_name, part_name = _keyed(docs, id_col)
     anchors = stored(_anchors(keyed, id_name, part_name, window, anchor))
-    counts = anchors.groupBy("anchor").agg(F.sum(F.size("places")).alias("n")).where("n > 1")
+    counts = anchors.groupBy("anchor").agg(F.sum(F.size("starts")).alias("n")).where("n > 1")
+    often = (F.col("n") > frequent).cast("int")
     hits = (
         anchors.join(counts, "anchor")
-        .select(F.explode("places").alias("p"), (F.col("n") > frequent).alias("often"))
-        .groupBy("p.id", "p.part")
-        .agg(F.collect_list(F.struct("p.start", "often")).alias("hits"))
+        .select(F.explode(F.arrays_zip("ids", "parts", "starts")).alias("p"), often.alias("often"))
+        .groupBy("p.ids", "p.parts")
+        .agg(F.collect_list(F.col("p.starts") * 2 + F.col("often")).alias("hits"))
         .toDF("its_id", "its_part", "hits")
     )
     key = (F.col(id_name) == F.col("its_id")) & (F.col(part_name) == F.col("its_part"))
     n_shards = parts(anchors.count(), shard_stretches)
     # One shuffle of the texts by id serves this join and the last.
-    cut = _cut_stretches(keyed.join(hits, key), id_name, part_name, window, anchor)
-    spans = _spans(cut.repartition(n_shards, "key"), window)
+    cut = _cut_stretches(keyed.join(hits, key), id_name, part_name, window, anchor, n_shards)
+    spans = _spans(cut.repartition(n_shards, "shard"), window)
     listed = spans.groupBy("id", "part").agg(F.collect_list(F.struct("first", "last")).alias("spans")).toDF("its_id", "its_part", "spans")
     joined = keyed.join(listed, key, "left")
     names = docs.columns
