@@ -30,6 +30,7 @@ ANCHOR = 6
 FREQUENT = 4_096
 # Stretches for each shard, before equal ones are reduced.
 SHARD_STRETCHES = 40_000
+HELD_TEXTS = 256
 
 PLACES = "anchor bigint, ids array<bigint>, parts array<bigint>, starts array<int>"
 # Stretches of one batch for one shard: their places, numbers of windows, and words by lines.
@@ -68,11 +69,11 @@ def _stretches(codes: np.ndarray, sizes: np.ndarray, window: int, anchor: int) -
     return text[cut], place[cut] - first[text[cut]], np.diff(np.append(cut, len(at))), grams[at[cut]]
 
 
-def _batch_words(texts: pa.Array, known: WordHashes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    words = [words_of(t.as_py()) for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    codes = np.concatenate([known.of(w) for w in words]) if words else np.empty(0, np.uint64)
-    return words, sizes, codes
+def _batch_codes(texts: pa.Array, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(words of each text, hashes of all words); the words themselves are let go text by text."""
+    codes = [known.of(words_of(t.as_py())) for t in texts]
+    sizes = np.fromiter(map(len, codes), np.int64, len(codes))
+    return sizes, np.concatenate(codes) if codes else np.empty(0, np.uint64)
 
 
 def _keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, str, str]:
@@ -91,7 +92,7 @@ def _anchors(keyed: DataFrame, id_name: str, part_name: str, window: int, anchor
     def run(batches: Batches) -> Batches:
         known = WordHashes()
         for batch in batches:
-            _, sizes, codes = _batch_words(batch.column(2), known)
+            sizes, codes = _batch_codes(batch.column(2), known)
             text, start, _, hashes = _stretches(codes, sizes, window, anchor)
             if not len(hashes):
                 continue
@@ -113,10 +114,6 @@ def _cut_stretches(joined: DataFrame, id_name: str, part_name: str, window: int,
     def run(batches: Batches) -> Batches:
         known = WordHashes()
         for batch in batches:
-            ids, names = (batch.column(at[c]).to_pylist() for c in (id_name, part_name))
-            words, sizes, codes = _batch_words(batch.column(at["text"]), known)
-            text, start, n, hashes = _stretches(codes, sizes, window, anchor)
-            hits = [{h >> 1: h & 1 for h in hs} for hs in batch.column(at["hits"]).to_pylist()]
             least: dict[bytes, tuple] = {}
             rows: list[tuple] = []
 
@@ -134,15 +131,23 @@ def _cut_stretches(joined: DataFrame, id_name: str, part_name: str, window: int,
                     if late is old:
                         least[stretch] = new
 
-            for t, s, size, h in zip(text.tolist(), start.tolist(), n.tolist(), hashes.tolist()):
-                often = hits[t].get(s)
-                if often is None:
-                    continue
-                if not often:
-                    add(h, (ids[t], names[t], s), size, b" ".join(words[t][s : s + size + window - 1]))
-                else:
-                    for k in range(s, s + size):
-                        add(None, (ids[t], names[t], k), 1, b" ".join(words[t][k : k + window]))
+            # Words are held for a few texts at a time, stretches for the batch.
+            for first in range(0, batch.num_rows, HELD_TEXTS):
+                few = batch.slice(first, HELD_TEXTS)
+                ids, names = (few.column(at[c]).to_pylist() for c in (id_name, part_name))
+                hits = [{h >> 1: h & 1 for h in hs} for hs in few.column(at["hits"]).to_pylist()]
+                words = [words_of(t.as_py()) for t in few.column(at["text"])]
+                sizes = np.fromiter(map(len, words), np.int64, len(words))
+                text, start, n, hashes = _stretches(np.concatenate([known.of(w) for w in words]), sizes, window, anchor)
+                for t, s, size, h in zip(text.tolist(), start.tolist(), n.tolist(), hashes.tolist()):
+                    often = hits[t].get(s)
+                    if often is None:
+                        continue
+                    if not often:
+                        add(h, (ids[t], names[t], s), size, b" ".join(words[t][s : s + size + window - 1]))
+                    else:
+                        for k in range(s, s + size):
+                            add(None, (ids[t], names[t], k), 1, b" ".join(words[t][k : k + window]))
             rows.extend(least.values())
             if rows:
                 yield _bundled(rows, n_shards)
