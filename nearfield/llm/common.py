@@ -16,7 +16,7 @@ from nearfield.session import shared_dir
 # Words are runs of other characters than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 # A task forgets its word hashes at this many words, to bound its memory.
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 
 Batches = Iterator[pa.RecordBatch]
 

@@ -69,11 +69,15 @@ def _stretches(codes: np.ndarray, sizes: np.ndarray, window: int, anchor: int) -
     return text[cut], place[cut] - first[text[cut]], np.diff(np.append(cut, len(at))), grams[at[cut]]
 
 
-def _batch_codes(texts: pa.Array, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """(words of each text, hashes of all words); the words themselves are let go text by text."""
-    codes = [known.of(words_of(t.as_py())) for t in texts]
-    sizes = np.fromiter(map(len, codes), np.int64, len(codes))
-    return sizes, np.concatenate(codes) if codes else np.empty(0, np.uint64)
+def _batch_stretches(texts: pa.Array, known: WordHashes, window: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """(text, start, anchor hash) of each stretch of a batch, a few texts at a time."""
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))]
+    for first in range(0, len(texts), HELD_TEXTS):
+        codes = [known.of(words_of(t.as_py())) for t in texts.slice(first, HELD_TEXTS)]
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes))
+        text, start, _, hashes = _stretches(np.concatenate(codes), sizes, window, anchor)
+        found.append((text + first, start, hashes))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, str, str]:
@@ -92,8 +96,7 @@ def _anchors(keyed: DataFrame, id_name: str, part_name: str, window: int, anchor
     def run(batches: Batches) -> Batches:
         known = WordHashes()
         for batch in batches:
-            sizes, codes = _batch_codes(batch.column(2), known)
-            text, start, _, hashes = _stretches(codes, sizes, window, anchor)
+            text, start, hashes = _batch_stretches(batch.column(2), known, window, anchor)
             if not len(hashes):
                 continue
             order = np.argsort(hashes, kind="stable")
