@@ -27,7 +27,10 @@ def number(value: Column) -> Column:
 
 
 def match(value: Column, wanted: Any) -> Column:
-    return value == F.lit(wanted)
+    """Equality; a number is compared with text as a number, and matches no other text."""
+    if isinstance(wanted, bool) or not isinstance(wanted, (int, float)):
+        return value == F.lit(wanted)
+    return value.try_cast("decimal(38,9)" if isinstance(wanted, int) else "double") == F.lit(wanted)
 
 
 def match_any(value: Column, wanted: list[Any]) -> Column:

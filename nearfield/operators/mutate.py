@@ -20,13 +20,22 @@ def latest(points: DataFrame, order_by: str) -> DataFrame:
     return points.groupBy("id").agg(kept).select("id", "kept.*")
 
 
+def _check_single(changes: DataFrame) -> None:
+    repeated = changes.groupBy("id").count().where("count > 1").limit(1).collect()
+    if repeated:
+        raise ValueError(f"id {repeated[0].id} is repeated; name the column that orders its changes")
+
+
 def upsert(points: DataFrame, new: DataFrame, order_by: str | None = None) -> DataFrame:
     """All points, those in ``new`` replacing the ones of the same id.
 
-    An id repeated within ``new`` needs ``order_by``: the last write wins.
+    An id repeated within ``new`` needs ``order_by``: the last write wins; without, it is
+    an error.
     """
     if order_by is not None:
         new = latest(new, order_by)
+    else:
+        _check_single(new)
     return delete_ids(points, new).unionByName(new)
 
 
@@ -62,9 +71,11 @@ def set_payloads(points: DataFrame, updates: DataFrame, order_by: str | None = N
     """Merges a table of (id, payload) into the points, in one join.
 
     For an id repeated in ``updates`` the payloads are folded in ``order_by`` order:
-    per key the last value wins.
+    per key the last value wins. Without an order, a repeated id is an error.
     """
-    if order_by is not None:
+    if order_by is None:
+        _check_single(updates)
+    else:
         entries = updates.select("id", order_by, F.explode("payload").alias("key", "value"))
         last = entries.groupBy("id", "key").agg(F.max_by("value", order_by).alias("value"))
         folded = F.map_from_entries(F.collect_list(F.struct("key", "value")))

@@ -299,14 +299,11 @@ def _best(found: DataFrame, n: int) -> DataFrame:
 
 
 def most_similar_pairs(
-    points: DataFrame, n: int = 5, using: str = "dense", first: int | None = None
+    points: DataFrame, n: int = 5, using: str = "dense"
 ) -> DataFrame:
     """The n pairs of largest cosine: (rank, id_a, id_b, score), id_a < id_b.
 
-    ``first`` looks at the points of smallest id only; by default all take part.
     """
-    if first is not None:
-        points = points.orderBy("id").limit(first)
     vectors = _vectors(points, using)
     blocks = vectors.count() // PAIR_BLOCK + 1
     floor, longest = None, 1

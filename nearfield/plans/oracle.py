@@ -347,9 +347,10 @@ UNION ALL SELECT id, 'lang', lang FROM d
 UNION ALL SELECT id, 'toxic', toxic::VARCHAR FROM d WHERE toxic IS NOT NULL"""
 _NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NUMERIC_LABELS.items())
 RECORDS = f"""
-    d AS (SELECT doc_id, {_strip("regexp_extract(text, '(?s)\\n(.*)', 1)")} AS text,
-                 CASE WHEN doc_id % 4 = 0 THEN '  ' || upper(source) ELSE quality::VARCHAR END AS raw
-          FROM documents LEFT JOIN labels USING (doc_id)),
+    r AS (SELECT doc_id, text, source, quality FROM documents LEFT JOIN labels USING (doc_id)
+          UNION ALL SELECT doc_id + 1000000, ' ', source, quality FROM documents LEFT JOIN labels USING (doc_id)),
+    d AS (SELECT doc_id, {_strip("text")} AS text,
+                 CASE WHEN doc_id % 4 = 0 THEN '  ' || upper(source) ELSE quality::VARCHAR END AS raw FROM r),
     v AS (SELECT doc_id, text, {_strip("lower(raw)")} AS l, text <> '' AS valid FROM d)""".strip()
 SQL["validated_records"] = _with(RECORDS) + (
     f"SELECT doc_id, text, CASE l {_NAMES} ELSE l END AS label FROM v WHERE valid"
@@ -371,6 +372,7 @@ SQL["row_counts"] = "SELECT count(*) AS rows FROM documents"
 
 _DOC = "SELECT doc_id AS id, text, lang AS label, source, n_chars FROM documents"
 SQL["points_by_ids"] = f"{_DOC} WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"
+SQL["point_by_id"] = f"{_DOC} WHERE doc_id = 42"
 SQL["points_with_vectors"] = """
 SELECT vec_id AS id, (generate_subscripts(embedding, 1) - 1)::INT AS i, round(unnest(embedding)::DOUBLE, 6) + 0 AS x
 FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)"""
@@ -428,6 +430,9 @@ SQL["delete_filter"] = _with(PAYLOADS.strip()) + "SELECT id, label FROM d WHERE
 SQL["payload_merge"] = _with(PAYLOADS.strip()) + """
 SELECT f.id, key, CASE WHEN key = 'lang' AND value = 'fr' THEN 'français' ELSE value END AS value FROM f
 UNION ALL SELECT id, 'checked', 'yes' FROM d WHERE lang = 'fr'"""
+SQL["payload_set_field"] = _with(PAYLOADS.strip()) + """
+SELECT id, key, value FROM f UNION ALL SELECT id, 'checked', 'yes' FROM d WHERE id = 7"""
+SQL["payload_lookup"] = "SELECT doc_id AS id, lang, 'unknown' AS tone FROM documents"
 SQL["payload_merge_batch"] = _with(PAYLOADS.strip()) + """
 SELECT f.id, key, CASE WHEN key = 'source' AND toxic IS NOT NULL THEN 'rated ' || toxic ELSE value END AS value
 FROM f LEFT JOIN labels l ON l.doc_id = f.id

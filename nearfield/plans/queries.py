@@ -12,6 +12,7 @@ from nearfield.functions import distance as dist
 from nearfield.functions import predicates as p
 from nearfield.functions.encode import Bm25Encoder, HashingEncoder, query_weights
 from nearfield.functions.text import clean_text, tokens
+from nearfield.functions.text import lookup as lookup_value
 from nearfield.operators import analytics, lookup, mutate, pairs, recommend, report, search, validate
 from nearfield.plans import tables as t
 from nearfield.plans.ingest import points_of
@@ -306,13 +307,14 @@ def payload_assembly(spark, sf):
 
 
 def _records(spark, sf) -> DataFrame:
-    """Rated documents; the text left after the first line break, under another name."""
+    """Rated documents, whole texts under another name, and a blank record beside each."""
     rated = t.table(spark, sf, "documents").join(t.table(spark, sf, "labels"), "doc_id", "left")
-    rest = F.regexp_extract("text", r"(?s)\n(.*)", 1)
+    blank = rated.withColumn("doc_id", F.col("doc_id") + 1_000_000).withColumn("text", F.lit(" \n "))
+    rated = rated.unionByName(blank)
     label = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("  "), F.upper("source"))).otherwise(
         F.col("quality").cast("string")
     )
-    return rated.select("doc_id", rest.alias("sentence"), label.alias("label"))
+    return rated.select("doc_id", F.col("text").alias("sentence"), label.alias("label"))
 
 
 @query
@@ -359,6 +361,11 @@ def points_by_ids(spark, sf):
     return lookup.by_ids(t.documents(spark, sf), good)
 
 
+@query
+def point_by_id(spark, sf):
+    return lookup.by_id(t.documents(spark, sf), 42)
+
+
 @query
 def points_with_vectors(spark, sf):
     rated = t.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
@@ -467,6 +474,20 @@ def payload_merge(spark, sf):
     return _entries(mutate.set_payload(points, french, {"lang": "français", "checked": "yes"}))
 
 
+@query
+def payload_set_field(spark, sf):
+    return _entries(mutate.set_payload_field(t.payload_points(spark, sf), 7, "checked", "yes"))
+
+
+@query
+def payload_lookup(spark, sf):
+    """A payload value that all points have, and one that none has, by name."""
+    payload = F.col("payload")
+    return t.payload_points(spark, sf).select(
+        "id", lookup_value(payload, "lang").alias("lang"), lookup_value(payload, "tone", "unknown").alias("tone")
+    )
+
+
 @query
 def payload_merge_batch(spark, sf):
     """Ratings merged into payloads, first quality and toxicity, then a verdict over it."""

@@ -33,6 +33,7 @@ def _quoted(name: str) -> str:
 
 def collection_properties(spark: SparkSession, name: str) -> dict[str, str]:
     """What the collection was created with: dim, distance, shards, shard_key, field.*"""
+    restore(spark, name)
     rows = spark.sql(f"SHOW TBLPROPERTIES {_quoted(name)}").collect()
     return {r.key[len(_PREFIX) :]: r.value for r in rows if r.key.startswith(_PREFIX)}
 
@@ -117,6 +118,7 @@ def prepare_collection(
     spark: SparkSession, name: str, dim: int, recreate: bool = False, **options
 ) -> bool:
     """Makes the collection ready for a first load; False if it already has points."""
+    restore(spark, name)
     if recreate:
         recreate_collection(spark, name, dim, **options)
     elif not spark.catalog.tableExists(_quoted(name)):
@@ -128,6 +130,7 @@ def prepare_collection(
 
 def open_collection(spark: SparkSession, name: str, shards: list | None = None) -> DataFrame:
     """The points; ``shards`` reads only the partitions of those shard key values."""
+    restore(spark, name)
     points = spark.table(_quoted(name))
     if shards is None:
         return points
@@ -146,9 +149,13 @@ def _of_size(vector: Column, dim: int) -> Column:
 def add_points(spark: SparkSession, name: str, points: DataFrame) -> None:
     """Appends points whose ids are new; ``replace_points`` saves an upsert.
 
-    Columns the points lack stay null; a vector of another size is an error.
+    Columns the points lack stay null; a column that the collection lacks and a vector of
+    another size are errors.
     """
     given = collection_properties(spark, name)
+    unknown = set(points.columns) - set(spark.table(_quoted(name)).columns)
+    if unknown:
+        raise ValueError(f"collection {name!r} has no columns {sorted(unknown)}")
     columns = []
     for f in spark.table(_quoted(name)).schema:
         value = F.col(f"`{f.name}`") if f.name in points.columns else F.lit(None)
@@ -172,14 +179,23 @@ def describe_collection(spark: SparkSession, name: str) -> DataFrame:
 
 def _swap(spark: SparkSession, name: str, points: DataFrame, given: dict[str, str]) -> None:
     following, former = f"{name}__next", f"{name}__former"
+    restore(spark, name)
     spark.sql(f"DROP TABLE IF EXISTS {_quoted(following)}")
     _write(spark, following, points, given)
+    # The collection itself is there, so this one is left from a swap that ended.
     spark.sql(f"DROP TABLE IF EXISTS {_quoted(former)}")
     spark.sql(f"ALTER TABLE {_quoted(name)} RENAME TO {_quoted(former)}")
     spark.sql(f"ALTER TABLE {_quoted(following)} RENAME TO {_quoted(name)}")
     spark.sql(f"DROP TABLE {_quoted(former)}")
 
 
+def restore(spark: SparkSession, name: str) -> None:
+    """Gives a collection its name back if a swap broke off after taking it away."""
+    former = f"{name}__former"
+    if not spark.catalog.tableExists(_quoted(name)) and spark.catalog.tableExists(_quoted(former)):
+        spark.sql(f"ALTER TABLE {_quoted(former)} RENAME TO {_quoted(name)}")
+
+
 def replace_points(spark: SparkSession, name: str, points: DataFrame) -> None:
     """Saves a new version, which may well be computed from the present one.
 

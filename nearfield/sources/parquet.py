@@ -27,9 +27,14 @@ def read_source(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Shares a source of fewer files than cores out over all cores, for encoding."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """Shares a source that fits one split out over all cores, for encoding.
+
+    A larger source is read in splits anyway, and its text is never shuffled.
+    """
+    spark = df.sparkSession
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= split else df
 
 
 def with_row_ids(df: DataFrame, start_id: int = 0) -> DataFrame:

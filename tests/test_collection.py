@@ -123,3 +123,14 @@ def test_ingest_job(spark, tmp_path):
     assert points[5].payload == {"text": "word 5", "product_name": "p"}
     assert len(points[0].dense) == 16 and len(points[0].sparse.indices) == 2
     assert ingest(spark, path, scenario, HashingEncoder(16), 16, sparse) is None
+
+
+def test_a_broken_swap_loses_no_points(spark):
+    c.create_collection(spark, "half_swapped", 2)
+    c.add_points(spark, "half_swapped", spark.createDataFrame([(1, [0.0, 1.0])], "id bigint, dense array<float>"))
+    spark.sql("ALTER TABLE half_swapped RENAME TO half_swapped__former")
+    assert not c.prepare_collection(spark, "half_swapped", 2)
+    assert c.open_collection(spark, "half_swapped").count() == 1
+    with pytest.raises(ValueError, match="my-model"):
+        c.add_points(spark, "half_swapped", spark.createDataFrame([(2, 1.0)], "id bigint, `my-model` double"))
+    c.drop_collection(spark, "half_swapped") if hasattr(c, "drop_collection") else spark.sql("DROP TABLE half_swapped")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from nearfield.operators import mutate
@@ -65,3 +66,11 @@ def test_batch_updates_fold_in_order(spark):
 def test_delete_fields(spark):
     out = payloads(mutate.delete_fields(base(spark), F.col("id") == 2, ["k", "absent"]))
     assert out == {1: {"label": "x"}, 2: {"m": "2"}, 3: None}
+
+
+def test_repeated_ids_without_an_order_are_refused(spark):
+    twice = spark.createDataFrame([(1, "a", {}), (1, "b", {})], POINT)
+    with pytest.raises(ValueError, match="repeated"):
+        mutate.upsert(base(spark), twice)
+    with pytest.raises(ValueError, match="repeated"):
+        mutate.set_payloads(base(spark), twice.select("id", "payload"))

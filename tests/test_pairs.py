@@ -71,10 +71,6 @@ def test_fewer_pairs_than_asked(spark):
     assert found(pairs.most_similar_pairs(frame(spark, rows[:1]), 5)) == []
 
 
-def test_head_of_the_table(spark, crowd):
-    assert found(pairs.most_similar_pairs(frame(spark, crowd), 5, first=50)) == brute(crowd[:50], 5)
-
-
 @pytest.mark.parametrize("block", [8192, 10])
 def test_bands_compare_few_pairs_and_find_near_ones(spark, crowd, block, monkeypatch):
     monkeypatch.setattr(pairs, "PAIR_BLOCK", block)
