@@ -52,10 +52,3 @@ def l2_normalise(a: Column) -> Column:
     return F.transform(
         a, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0))
     )
-
-
-def better_first(column: str, distance: str = "Cosine") -> Column:
-    """Sort key: high is good, except for Euclid; null scores come last."""
-    if check_distance(distance) == "Euclid":
-        return F.asc_nulls_last(column)
-    return F.desc_nulls_last(column)

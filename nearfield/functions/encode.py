@@ -5,13 +5,16 @@ Every encoder works row by row on Arrow batches, so encoding never shuffles the
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Callable, Iterator
 from hashlib import md5
-from itertools import chain
+from types import ModuleType
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +46,21 @@ class _WordCodes(dict):
 
 
 def _batch_codes(texts: pa.Array, known: _WordCodes) -> tuple[np.ndarray, np.ndarray]:
-    """(row number, word code) of every word in a batch of texts without punctuation."""
-    codes = [[known[w] for w in (text or "").split()] for text in texts.to_pylist()]
-    sizes = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes))
-    flat = np.fromiter(chain.from_iterable(codes), dtype=np.int64, count=int(sizes.sum()))
-    return np.repeat(np.arange(len(codes)), sizes), flat
+    """(row number, word code) of every word in a batch of texts without punctuation.
+
+    Arrow splits the texts and numbers their distinct words; only those are hashed.
+    """
+    split = pc.utf8_split_whitespace(texts.cast(pa.string()).fill_null(""))
+    rows = np.repeat(np.arange(len(split)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    words = pc.dictionary_encode(split.flatten())
+    places = words.indices.to_numpy(zero_copy_only=False)
+    distinct = words.dictionary.to_pylist()
+    codes = np.fromiter((known[w] for w in distinct), dtype=np.int64, count=len(distinct))
+    if "" in distinct:
+        # Blanks at an end leave an empty word there.
+        kept = places != distinct.index("")
+        rows, places = rows[kept], places[kept]
+    return rows, codes[places]
 
 
 def _list_array(values: np.ndarray, sizes: np.ndarray | list[int], dtype: pa.DataType) -> pa.ListArray:
@@ -88,23 +101,36 @@ class HashingEncoder:
         return df.withColumn(out_col, self.column(F.col(text_col)))
 
 
+def _loaded(key: str, load: Callable[[], Callable]) -> Callable:
+    """The model of that key, loaded by the first task of a worker process.
+
+    Spark keeps worker processes between tasks, but unpickles functions for each; a
+    module is what tasks of one process share. The last model only is kept.
+    """
+    held = sys.modules.setdefault("_nearfield_model", ModuleType("_nearfield_model"))
+    if getattr(held, "key", None) != key:
+        held.model, held.key = load(), key
+    return held.model
+
+
 class ModelEncoder:
     """Dense vectors from a user's model.
 
-    ``load`` runs once per worker and returns a function from a list of texts to a
-    matrix with one row per text. ``out_col`` is by custom the model's name.
+    ``load`` runs once per worker process and returns a function from a list of texts to
+    a matrix with one row per text. ``out_col`` is by custom the model's name.
     """
 
     def __init__(self, load: Callable[[], Callable], normalise: bool = True) -> None:
         self.load = load
         self.normalise = normalise
+        self.key = uuid.uuid4().hex
 
     def column(self, text: Column) -> Column:
-        load, normalise = self.load, self.normalise
+        key, load, normalise = self.key, self.load, self.normalise
 
         @F.arrow_udf("array<float>")
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            model = load()
+            model = _loaded(key, load)
             for batch in batches:
                 texts = [t or "" for t in batch.to_pylist()]
                 if not texts:
@@ -156,7 +182,7 @@ def _bm25(counts: Column, mean: Column) -> Column:
     def weigh(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for listed, mean_lengths in batches:
             mean = (mean_lengths[0].as_py() if len(mean_lengths) else None) or 1.0
-            sizes = pa.compute.list_value_length(listed).fill_null(0).to_numpy()
+            sizes = pc.list_value_length(listed).fill_null(0).to_numpy()
             row = np.repeat(np.arange(len(listed)), sizes)
             count = listed.flatten().to_numpy().astype(np.float64)
             share = np.bincount(row, weights=count, minlength=len(listed)) / mean

@@ -13,6 +13,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Mean radius in metres.
+EARTH_RADIUS = 6_371_008.8
+
 
 def field(points: DataFrame, name: str) -> Column:
     """A column of the table, or else the payload value of that name."""
@@ -57,6 +60,25 @@ def in_range(
     return must(*tests)
 
 
+def place(value: Column) -> Column:
+    """Payload text, a JSON object with lon and lat, as a place; null where it is none."""
+    return F.from_json(value, "lon double, lat double")
+
+
+def in_box(place: Column, west: float, south: float, east: float, north: float) -> Column:
+    """Places in a box in degrees, its edges included; one whose west exceeds its east spans the date line."""
+    lon = place["lon"]
+    across = (lon >= west) | (lon <= east) if west > east else lon.between(west, east)
+    return place["lat"].between(south, north) & across
+
+
+def in_radius(place: Column, lon: float, lat: float, metres: float) -> Column:
+    """Places at most so far from a centre, on a sphere."""
+    rise, turn = F.radians(place["lat"] - lat) / 2, F.radians(place["lon"] - lon) / 2
+    chord = F.sin(rise) ** 2 + F.cos(F.radians(F.lit(lat))) * F.cos(F.radians(place["lat"])) * F.sin(turn) ** 2
+    return 2 * EARTH_RADIUS * F.asin(F.sqrt(F.least(chord, F.lit(1.0)))) <= metres
+
+
 def must(*conditions: Column) -> Column:
     return reduce(and_, conditions, F.lit(True))
 

@@ -21,6 +21,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def _on_directions(dense: Column, count: int, finish, width: int) -> Column:
     def project(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[int, np.ndarray] = {}
         for batch in batches:
-            sizes = pa.compute.list_value_length(batch).fill_null(0).to_numpy()
+            sizes = pc.list_value_length(batch).fill_null(0).to_numpy()
             out = np.zeros((len(batch), width), dtype=np.int64)
             for size in np.unique(sizes[sizes > 0]).tolist():
                 if size not in known:
@@ -203,7 +204,7 @@ def _compare_blocks(members: DataFrame, n: int, floor: float | None) -> DataFram
     )
 
     def compare(group: pa.Table) -> pa.Table:
-        group = group.filter(pa.compute.is_valid(group.column("dense"))).combine_chunks()
+        group = group.filter(pc.is_valid(group.column("dense"))).combine_chunks()
         if not group.num_rows:
             return _PAIR_ARROW.empty_table()
         ids = group.column("id").to_numpy()
@@ -231,9 +232,9 @@ def _floor_score(vectors: DataFrame, n: int) -> float | None:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _BestPairs(n, None)
         for batch in batches:
-            sizes = pa.compute.list_value_length(batch.column("dense"))
+            sizes = pc.list_value_length(batch.column("dense"))
             # sorted by size: one size fills nearly every batch
-            batch = batch.filter(pa.compute.equal(sizes, pa.compute.max(sizes)))
+            batch = batch.filter(pc.equal(sizes, pc.max(sizes)))
             if not batch.num_rows:
                 continue
             ids, unit = batch.column("id").to_numpy(), _unit_rows(batch.column("dense"))

@@ -80,21 +80,24 @@ def label_examples(points: DataFrame, requests: DataFrame, count: int = LABEL_EX
 
     ``requests`` has query_id, positive_label and optionally negative_label.
     """
+    sides = [("positive_label", True), ("negative_label", False)]
+    sides = [(name, positive) for name, positive in sides if name in requests.columns]
+    names = F.explode(F.array(*[F.col(name).cast("string") for name, _ in sides])).alias("label")
+    asked = requests.select(names).distinct()
     first = Window.partitionBy("label").orderBy("id")
     heads = (
         points.filter("label is not null")
         .select("id", F.col("label").cast("string").alias("label"))
+        .join(broadcast_if_small(asked), "label", "left_semi")
         .withColumn("place", F.row_number().over(first))
         .filter(F.col("place") <= count)
         .drop("place")
     )
-    sides = [("positive_label", True), ("negative_label", False)]
     parts = [
         requests.select("query_id", F.col(name).cast("string").alias("label"))
         .join(heads, "label")
         .select("query_id", "id", F.lit(positive).alias("positive"))
         for name, positive in sides
-        if name in requests.columns
     ]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.operators.topk import Branch, partial_hits, rank_hits, topk
 from nearfield.schema import DEFAULT_LIMIT, OVER_FETCH, UNKNOWN_LABEL
+from nearfield.sources.collection import collection_properties, open_collection
 
 # Rank fusion adds 1 / (constant + rank), ranks counted from zero.
 FUSION_CONSTANT = 2
@@ -14,16 +18,41 @@ FUSION_CONSTANT = 2
 # Hits are broadcast to the points only when they are at most this many.
 MAX_BROADCAST_HITS = 1_000_000
 
+# So few hits are fetched, and their ids become ranges that the payload scan can skip by.
+MAX_FETCHED_HITS = 10_000
+ID_RANGES = 128
+
+
+def _id_ranges(ids: list[int]) -> list[tuple[int, int]]:
+    """Ranges that cover the ids, parted at the widest gaps."""
+    ids = sorted(set(ids))
+    apart = [i for i in range(1, len(ids)) if ids[i] - ids[i - 1] > 1]
+    gaps = sorted(apart, key=lambda i: ids[i - 1] - ids[i])[: ID_RANGES - 1]
+    cuts = [0, *sorted(gaps), len(ids)]
+    return [(ids[a], ids[b - 1]) for a, b in zip(cuts, cuts[1:]) if a < b]
+
+
+def _near(payload: DataFrame, ids: list[int]) -> DataFrame:
+    """The rows in the ids' ranges: the scan skips files, row groups and pages of others."""
+    within = [F.col("id").between(a, b) for a, b in _id_ranges(ids)]
+    return payload.filter(reduce(or_, within, F.lit(False)))
+
 
 def shape_hits(
     hits: DataFrame, points: DataFrame, most: int | None, payload: DataFrame | None = None
 ) -> DataFrame:
-    """Adds label and text to ranked hits: the payload is read for hits only.
+    """Adds label and text to ranked hits.
 
-    A missing label reads ``unknown``; text stays null where the points have none.
+    At most 10,000 hits (by the number of queries) are found first, so that the payload
+    scan can skip what lies outside their ids. A missing label reads ``unknown``; text
+    stays null where the points have none.
     """
     points = points if payload is None else payload
-    if most is not None and most <= MAX_BROADCAST_HITS:
+    if most is not None and most <= MAX_FETCHED_HITS and "text" in points.columns:
+        found = hits.toArrow()
+        hits = F.broadcast(hits.sparkSession.createDataFrame(found))
+        points = _near(points, found.column("id").to_pylist())
+    elif most is not None and most <= MAX_BROADCAST_HITS:
         hits = F.broadcast(hits)
     label = F.col("label").cast("string") if "label" in points.columns else F.lit(None).cast("string")
     text = F.col("text") if "text" in points.columns else F.lit(None).cast("string")
@@ -106,3 +135,27 @@ def hybrid_search(
     best = best.withColumnRenamed("gain", "score")
     most = None if shipped is None else shipped * deepest
     return shape_hits(best.select("query_id", "rank", "id", "score"), points, most, payload)
+
+
+def search_collection(
+    spark: SparkSession,
+    name: str,
+    queries: DataFrame,
+    k: int = DEFAULT_LIMIT,
+    distance: str | None = None,
+    condition: Column | None = None,
+    shards: list | None = None,
+) -> DataFrame:
+    """Dense search of a saved collection, by the distance and vector it was created with.
+
+    The queries' vectors are in a column of the collection's vector name, or in ``dense``.
+    A ``distance`` other than the collection's is an error.
+    """
+    given = collection_properties(spark, name)
+    vector = given.get("vector", "dense")
+    if distance not in (None, given["distance"]):
+        raise ValueError(f"collection {name!r} was created for {given['distance']}, not {distance}")
+    if vector not in queries.columns:
+        queries = queries.withColumnRenamed("dense", vector)
+    points = open_collection(spark, name, shards)
+    return dense_search(points, queries, k, given["distance"], condition, using=vector)

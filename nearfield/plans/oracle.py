@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from nearfield.functions.text import (
-    BLANKS,
-    MULTIPLE_SPACES_PATTERN,
-    NUMERIC_LABELS,
-    PUNCTUATION_PATTERN,
-    STOP_WORDS,
-)
 from nearfield.plans.queries import NEGATIVE_IDS, POSITIVE_IDS
 
 SQL: dict[str, str] = {}
 
+# Fixed values, stated here again so that a wrong one in the functions shows.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+PUNCTUATION_PATTERN = r"[^\p{L}\p{N}_\t-\r\x1c-\x20\x85\p{Z}]"
+MULTIPLE_SPACES_PATTERN = r"[\t-\r\x1c-\x20\x85\p{Z}]+"
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in",
+    "is", "it", "its", "of", "on", "that", "the", "to", "was", "will", "with", "this",
+    "but", "they", "have",
+)
+NUMERIC_LABELS = {"0": "negative", "1": "neutral", "2": "positive"}
+
 
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(p for p in parts if p) + "\n"
@@ -445,13 +452,32 @@ SELECT f.id, key, value FROM f JOIN d USING (id) WHERE d.lang <> 'de' OR key = '
 # -- collections and streams ------------------------------------------------------
 
 SQL["ingest_collection"] = (
-    _with(DOCS, _words("dw", "d"))
+    _with(DOCS, _words("dw", "d"), _hashed("dh", "dw", "d"), _bm25("ds", "dw", "d"))
     + """
-SELECT doc_id AS id, text, lang AS label, 64 AS dim,
-       (SELECT count(DISTINCT (code >> 4) & 2147483647) FROM dw WHERE dw.id = doc_id)::INT AS words,
-       4 AS fields, source
-FROM documents"""
+SELECT doc_id AS id, 'text' AS part, NULL::VARCHAR AS key, NULL::DOUBLE AS number, text AS value FROM documents
+UNION ALL SELECT doc_id, 'label', NULL, NULL, lang FROM documents
+UNION ALL SELECT id, 'dense', i::INT::VARCHAR, round(x::DOUBLE, 6) + 0, NULL FROM dh
+UNION ALL SELECT id, 'sparse', word::INT::VARCHAR, round(weight::DOUBLE, 6) + 0, NULL FROM ds
+UNION ALL SELECT doc_id, 'payload', key, NULL, value
+FROM (SELECT doc_id, unnest(['text', 'label', 'source', 'n_chars']) AS key,
+             unnest([text, lang, source, n_chars::VARCHAR]) AS value FROM documents) WHERE value IS NOT NULL"""
 )
+SQL["ingest_counters"] = SQL["record_validity_counts"]
+SQL["collection_search_euclid"] = SQL["dense_topk_euclid"]
+SQL["collection_search_dot"] = SQL["dense_topk_dot"]
+SQL["named_vector_search"] = SQL["dense_topk_cosine"]
+SQL["user_model_encode"] = """
+WITH n AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents)
+SELECT id, unnest([0, 1, 2])::INT AS i,
+       unnest([length(text), length(text) - length(replace(text, 'e', '')),
+               length(text) - length(replace(text, ' ', ''))])::DOUBLE AS x FROM n"""
+SQL["geo_filter"] = """
+WITH g AS (SELECT vec_id AS id, label::VARCHAR AS label,
+                  vec_id * 37 % 360 - 180 AS lon, vec_id * 17 % 180 - 90 AS lat FROM embeddings)
+SELECT id, label FROM g
+WHERE 2 * 6371008.8 * asin(sqrt(least(1, pow(sin(radians(lat - 50) / 2), 2)
+          + cos(radians(50)) * cos(radians(lat)) * pow(sin(radians(lon - 10) / 2), 2)))) <= 3000000
+   OR (lat BETWEEN -30 AND 30 AND (lon >= 160 OR lon <= -160))"""
 SQL["shard_search"] = _centre_search(score=_cosine("p.dense", "q.dense"), where="p.label = '3'")
 SQL["described_collection"] = f"""
 SELECT 2 * count(*) AS points, 2 * count(embedding) AS vectors, count(label) AS labelled,
@@ -462,8 +488,11 @@ SQL["typed_field_filter"] = (
     "SELECT doc_id AS id, lang, n_chars FROM documents WHERE lang = 'en' AND n_chars >= 2000"
 )
 SQL["incremental_ingest"] = """
-SELECT vec_id AS id, label, (generate_subscripts(embedding, 1) - 1)::INT AS i,
-       round(unnest(embedding)::DOUBLE, 6) + 0 AS x FROM embeddings"""
+WITH w AS (
+    SELECT vec_id AS id, label::VARCHAR AS label, embedding AS v FROM embeddings WHERE label % 2 = 1
+    UNION ALL SELECT vec_id, 'first', list_reverse(embedding) FROM embeddings WHERE label % 2 = 0 AND vec_id % 3 <> 0
+    UNION ALL SELECT vec_id, 'second', embedding FROM embeddings WHERE label % 2 = 0 AND vec_id % 3 = 0)
+SELECT id, label, (generate_subscripts(v, 1) - 1)::INT AS i, round(unnest(v)::DOUBLE, 6) + 0 AS x FROM w"""
 SQL["incremental_ingest_numbered"] = (
     "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, doc_id, lang, n_chars FROM documents"
 )

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import distance as dist
 from nearfield.functions import predicates as p
-from nearfield.functions.encode import Bm25Encoder, HashingEncoder, query_weights
+from nearfield.functions.encode import Bm25Encoder, HashingEncoder, ModelEncoder, query_weights
 from nearfield.functions.text import clean_text, tokens
 from nearfield.functions.text import lookup as lookup_value
 from nearfield.operators import analytics, lookup, mutate, pairs, recommend, report, search, validate
 from nearfield.plans import tables as t
-from nearfield.plans.ingest import points_of
+from nearfield.plans.ingest import ingest
 from nearfield.schema import Scenario
 from nearfield.session import broadcast_if_small, shared_dir
 from nearfield.sources import collection as c
@@ -285,6 +286,17 @@ def text_clean_stopwords(spark, sf):
     return rows.select("id", F.size("words").alias("words_left"), F.array_join("words", " ").alias("clean"))
 
 
+def _letter_model():
+    """Stands for a user's model: code points, letters e and spaces of each text."""
+    return lambda texts: [[len(x), x.count("e"), x.count(" ")] for x in texts]
+
+
+@query
+def user_model_encode(spark, sf):
+    encoder = ModelEncoder(_letter_model, normalise=False)
+    return _elements(encoder.transform(src.spread(t.documents(spark, sf)), "text", "letters"), "letters")
+
+
 # -- sources ----------------------------------------------------------------------
 
 
@@ -384,6 +396,16 @@ def general_filter(spark, sf):
     return points.filter(condition).select("id", "label")
 
 
+@query
+def geo_filter(spark, sf):
+    """Points at places made from their ids: within 3,000 km of one, or about the date line."""
+    place = F.to_json(F.struct((F.col("id") * 37 % 360 - 180).alias("lon"), (F.col("id") * 17 % 180 - 90).alias("lat")))
+    points = t.embeddings(spark, sf).withColumn("payload", F.create_map(F.lit("where"), place))
+    where = p.place(p.field(points, "where"))
+    wanted = p.should(p.in_radius(where, 10, 50, 3_000_000), p.in_box(where, 160, -30, -160, 30))
+    return points.filter(wanted).select("id", "label")
+
+
 @query
 def scroll_page(spark, sf):
     return lookup.scroll(t.documents(spark, sf), offset=50)
@@ -517,17 +539,61 @@ def _fresh_name(stem: str) -> str:
 
 @query
 def ingest_collection(spark, sf):
-    """Source to collection and back: ids, columns, payload and vector size."""
-    name = _fresh_name("documents")
-    source = t.table(spark, sf, "documents")
-    sparse = Bm25Encoder.fit(src.spread(source), "text")
-    points = points_of(source, t.DOCUMENTS, HashingEncoder(), sparse)
-    if c.prepare_collection(spark, name, 64, sparse=True, external=True):
-        c.add_points(spark, name, points)
-    return c.open_collection(spark, name).select(
-        "id", "text", "label", F.size("dense").alias("dim"), F.size("sparse.indices").alias("words"),
-        F.size("payload").alias("fields"), F.col("payload")["source"].alias("source"),
-    )
+    """Source to collection and back: each text, label, vector element, weight and payload value."""
+    scenario = replace(t.DOCUMENTS, collection_name=_fresh_name("documents"))
+    path = f"{sf}/documents.parquet"
+    sparse = Bm25Encoder.fit(src.spread(src.read_source(spark, path)), "text")
+    ingest(spark, path, scenario, HashingEncoder(), 64, sparse, external=True)
+    points = c.open_collection(spark, scenario.collection_name)
+
+    def part(name: str, rows: DataFrame, key: Column, number: Column, value: Column) -> DataFrame:
+        return rows.select(
+            "id", F.lit(name).alias("part"), key.cast("string").alias("key"),
+            (F.round(number.cast("double"), 6) + 0.0).alias("number"), value.cast("string").alias("value"),
+        )
+
+    none = F.lit(None)
+    dense = points.select("id", F.posexplode("dense").alias("key", "number"))
+    weights = points.select("id", F.explode(F.arrays_zip("sparse.indices", "sparse.values")).alias("w"))
+    return (
+        part("text", points, none, none, F.col("text"))
+        .unionByName(part("label", points, none, none, F.col("label")))
+        .unionByName(part("dense", dense, F.col("key"), F.col("number"), none))
+        .unionByName(part("sparse", weights, F.col("w.indices"), F.col("w.values"), none))
+        .unionByName(part("payload", _entries(points), F.col("key"), none, F.col("value")))
+    )
+
+
+@query
+def ingest_counters(spark, sf):
+    """Valid and invalid records, counted by an Observation while they are read."""
+    counts = Observation()
+    src.validated_records(_records(spark, sf), counts=counts).write.format("noop").mode("overwrite").save()
+    found = counts.get
+    return spark.createDataFrame([(found["valid"], found["invalid"])], "valid bigint, invalid bigint")
+
+
+def _searched(spark, sf, distance: str, vector: str = "dense") -> DataFrame:
+    """Search of a saved collection that knows its distance and vector."""
+    name = _fresh_name("searched")
+    c.create_collection(spark, name, 64, distance=distance, external=True, vector=vector)
+    c.add_points(spark, name, t.embeddings(spark, sf).withColumnRenamed("dense", vector))
+    return _hits(search.search_collection(spark, name, t.centroids(spark, sf)))
+
+
+@query
+def collection_search_euclid(spark, sf):
+    return _searched(spark, sf, "Euclid")
+
+
+@query
+def collection_search_dot(spark, sf):
+    return _searched(spark, sf, "Dot")
+
+
+@query
+def named_vector_search(spark, sf):
+    return _searched(spark, sf, "Cosine", "my-model")
 
 
 @query
@@ -564,24 +630,26 @@ def typed_field_filter(spark, sf):
     return points.filter((F.col("lang") == "en") & (F.col("n_chars") >= 2000)).select("id", "lang", "n_chars")
 
 
-def _streamed(spark, sf, name: str, key: str, columns: list[str]) -> DataFrame:
-    schema = t.table(spark, sf, name).schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
-    return files.select(*columns) if key is None else files.select(F.col(key).alias("id"), *columns)
-
-
 @query
 def incremental_ingest(spark, sf):
-    path, checkpoint = shared_dir(spark, "stream"), shared_dir(spark, "progress")
-    points = _streamed(spark, sf, "embeddings", "vec_id", ["embedding", "label"])
-    stream.stream_points(points, path, checkpoint).awaitTermination()
-    rows = stream.read_streamed(spark, path).withColumnRenamed("embedding", "dense")
-    return _elements_with_label(rows)
+    """All points, then even labels changed, then some again; each run takes up what is new."""
+    source, path, checkpoint = (shared_dir(spark, part) for part in ("arriving", "stream", "progress"))
+    base = t.embeddings(spark, sf)
+    even = base.filter(F.col("label").cast("int") % 2 == 0)
+    first = even.withColumns({"dense": F.reverse("dense"), "label": F.lit("first")})
+    second = even.filter("id % 3 = 0").withColumn("label", F.lit("second"))
+    for arriving in (base, first, second):
+        arriving.write.mode("append").parquet(source)
+        points = spark.readStream.schema(base.schema).parquet(source)
+        stream.stream_points(points, path, checkpoint).awaitTermination()
+    return _elements_with_label(stream.read_streamed(spark, path))
 
 
 @query
 def incremental_ingest_numbered(spark, sf):
     path, checkpoint = shared_dir(spark, "stream"), shared_dir(spark, "progress")
-    points = _streamed(spark, sf, "documents", None, ["doc_id", "lang", "n_chars"])
+    schema = t.table(spark, sf, "documents").schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    points = files.select("doc_id", "lang", "n_chars")
     stream.stream_points(points, path, checkpoint, number_by="doc_id").awaitTermination()
     return stream.read_streamed(spark, path).select("id", "doc_id", "lang", "n_chars")

@@ -10,7 +10,6 @@ POINT_SCHEMA = (
     "id bigint, dense array<float>, sparse " + SPARSE_TYPE + ", "
     "text string, label string, payload map<string,string>"
 )
-HIT_SCHEMA = "query_id bigint, id bigint, score double"
 
 # Result limits and defaults of the search API.
 DEFAULT_LIMIT = 10

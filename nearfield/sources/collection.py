@@ -31,8 +31,12 @@ def _quoted(name: str) -> str:
     return "`" + check_collection_name(name).replace("-", "_dash_") + "`"
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def collection_properties(spark: SparkSession, name: str) -> dict[str, str]:
-    """What the collection was created with: dim, distance, shards, shard_key, field.*"""
+    """What the collection was created with: dim, distance, vector, shards, shard_key, field.*"""
     restore(spark, name)
     rows = spark.sql(f"SHOW TBLPROPERTIES {_quoted(name)}").collect()
     return {r.key[len(_PREFIX) :]: r.value for r in rows if r.key.startswith(_PREFIX)}
@@ -59,7 +63,7 @@ def _arranged(points: DataFrame, given: dict[str, str]) -> DataFrame:
         order = [f"`{c}`" for c in order]
         return points.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     if key:
-        return points.hint("rebalance", key)
+        return points.hint("rebalance", F.col(f"`{key}`"))
     return points.repartition(shards * -(-tasks // shards), "id")
 
 
@@ -72,7 +76,7 @@ def _write(spark: SparkSession, name: str, points: DataFrame, given: dict[str, s
     if given.get("external") == "true":
         writer = writer.option("path", shared_dir(spark, "collections", name))
     writer.saveAsTable(_quoted(name))
-    pairs = ", ".join(f"'{_PREFIX}{k}' = '{v}'" for k, v in given.items())
+    pairs = ", ".join(f"{_literal(_PREFIX + k)} = {_literal(v)}" for k, v in given.items())
     spark.sql(f"ALTER TABLE {_quoted(name)} SET TBLPROPERTIES ({pairs})")
 
 
@@ -85,9 +89,11 @@ def create_collection(
     shards: int = DEFAULT_SHARDS,
     shard_key: str | None = None,
     external: bool = False,
+    vector: str = "dense",
 ) -> None:
     """An empty collection; one of that name must not exist.
 
+    ``vector`` names the column of dense vectors, by custom after their model.
     Without a shard key, points are bucketed by id into ``shards``. With one, each of
     its values gets a partition. ``external`` puts the files in the shared folder
     instead of the warehouse.
@@ -96,11 +102,14 @@ def create_collection(
     if dim <= 0 or shards <= 0:
         raise ValueError("dim and shards must be positive")
     empty = spark.createDataFrame([], POINT_SCHEMA)
+    if vector != "dense" and vector in empty.columns:
+        raise ValueError(f"vector name {vector!r}: that column holds something else")
+    empty = empty.withColumnRenamed("dense", vector)
     if not sparse:
         empty = empty.drop("sparse")
     if shard_key and shard_key not in empty.columns:
         empty = empty.withColumn(shard_key, F.lit(None).cast("string"))
-    given = {"dim": str(dim), "distance": distance, "shards": str(shards)}
+    given = {"dim": str(dim), "distance": distance, "vector": vector, "shards": str(shards)}
     if shard_key:
         given["shard_key"] = shard_key
     if external:
@@ -160,7 +169,7 @@ def add_points(spark: SparkSession, name: str, points: DataFrame) -> None:
     for f in spark.table(_quoted(name)).schema:
         value = F.col(f"`{f.name}`") if f.name in points.columns else F.lit(None)
         value = value.cast(f.dataType)
-        if f.name == "dense":
+        if f.name == given.get("vector", "dense"):
             value = _of_size(value, int(given["dim"]))
         columns.append(value.alias(f.name))
     _arranged(points.select(*columns), given).write.insertInto(_quoted(name))
@@ -169,7 +178,8 @@ def add_points(spark: SparkSession, name: str, points: DataFrame) -> None:
 def describe_collection(spark: SparkSession, name: str) -> DataFrame:
     """One row: what the points hold, beside the size and distance declared."""
     given = collection_properties(spark, name)
-    return collection_stats(open_collection(spark, name)).select(
+    points = open_collection(spark, name).withColumnRenamed(given.get("vector", "dense"), "dense")
+    return collection_stats(points).select(
         F.lit(name).alias("collection"),
         "*",
         F.lit(int(given["dim"])).alias("declared_size"),
@@ -186,7 +196,26 @@ def _swap(spark: SparkSession, name: str, points: DataFrame, given: dict[str, st
     spark.sql(f"DROP TABLE IF EXISTS {_quoted(former)}")
     spark.sql(f"ALTER TABLE {_quoted(name)} RENAME TO {_quoted(former)}")
     spark.sql(f"ALTER TABLE {_quoted(following)} RENAME TO {_quoted(name)}")
+    files = _location(spark, former) if given.get("external") == "true" else None
     spark.sql(f"DROP TABLE {_quoted(former)}")
+    if files is not None:
+        _remove_version(spark, name, files)
+
+
+def _location(spark: SparkSession, name: str) -> str:
+    rows = spark.sql(f"DESCRIBE FORMATTED {_quoted(name)}").filter("col_name = 'Location'")
+    return rows.first().data_type
+
+
+def _remove_version(spark: SparkSession, name: str, files: str) -> None:
+    """Deletes the files of a version that no table names any more.
+
+    Only what ``_write`` put into the shared folder for this collection is deleted.
+    """
+    if f"/nearfield/collections/{name}/" not in files and f"/nearfield/collections/{name}__next/" not in files:
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(files)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def restore(spark: SparkSession, name: str) -> None:
@@ -222,12 +251,16 @@ def typed_field(field: str, kind: str) -> Column:
 def declare_field(spark: SparkSession, name: str, field: str, kind: str = "keyword") -> None:
     """Gives a payload field a typed column of its own and lays the table out by it.
 
-    Filters on the column then reach the scan and skip row groups.
+    Filters on the column then reach the scan and skip row groups. A column that the
+    table has already must be of the declared type.
     """
     points = open_collection(spark, name)
     if field in points.columns and field not in list_fields(spark, name):
         if kind not in FIELD_TYPES:
             raise ValueError(f"field kind {kind!r}: must be one of {', '.join(FIELD_TYPES)}")
+        has = points.schema[field].dataType.simpleString()
+        if has != FIELD_TYPES[kind].replace(": ", ":").replace(", ", ","):
+            raise ValueError(f"column {field!r} is {has}, not {FIELD_TYPES[kind]} as {kind} fields are")
         typed = points
     else:
         typed = points.withColumn(field, typed_field(field, kind))
@@ -240,7 +273,7 @@ def drop_field(spark: SparkSession, name: str, field: str) -> None:
     given = collection_properties(spark, name)
     if given.pop(f"field.{field}", None) is None:
         return
-    own = {c.split(" ")[0] for c in POINT_SCHEMA.replace("<", " ").split(", ")}
+    own = {c.split(" ")[0] for c in POINT_SCHEMA.replace("<", " ").split(", ")} | {given.get("vector")}
     points = open_collection(spark, name)
     kept = points if field in own or field == given.get("shard_key") else points.drop(field)
     _swap(spark, name, kept, given)

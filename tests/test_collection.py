@@ -1,10 +1,12 @@
+from pathlib import Path
+
 import pytest
 from conftest import plan
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from nearfield.functions.encode import Bm25Encoder, HashingEncoder
-from nearfield.operators import mutate
+from nearfield.operators import mutate, search
 from nearfield.plans.ingest import ingest
 from nearfield.schema import Scenario
 from nearfield.sources import collection as c
@@ -134,3 +136,52 @@ def test_a_broken_swap_loses_no_points(spark):
     with pytest.raises(ValueError, match="my-model"):
         c.add_points(spark, "half_swapped", spark.createDataFrame([(2, 1.0)], "id bigint, `my-model` double"))
     c.drop_collection(spark, "half_swapped") if hasattr(c, "drop_collection") else spark.sql("DROP TABLE half_swapped")
+
+
+def test_search_keeps_to_the_collection(spark):
+    name = "searched"
+    c.create_collection(spark, name, 2, distance="Euclid", vector="my-model", external=True)
+    c.add_points(spark, name, rows(spark).withColumnRenamed("dense", "my-model"))
+    asked = spark.createDataFrame([(1, [3.2, 1.0])], "query_id bigint, dense array<float>")
+    hits = search.search_collection(spark, name, asked, k=2).orderBy("rank").collect()
+    # By cosine the farthest point would come first.
+    assert [(h.id, h.text) for h in hits] == [(3, "text 3"), (4, "text 4")]
+    with pytest.raises(ValueError, match="created for Euclid"):
+        search.search_collection(spark, name, asked, distance="Cosine")
+
+
+def test_payload_scan_skips_by_the_ids_of_hits(spark):
+    c.create_collection(spark, "skipped", 2, distance="Dot")
+    c.add_points(spark, "skipped", rows(spark))
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, dense array<float>")
+    hits = search.search_collection(spark, "skipped", asked, k=3)
+    assert "GreaterThanOrEqual(id,17), LessThanOrEqual(id,19)" in plan(hits)
+    assert {h.id for h in hits.collect()} == {17, 18, 19}
+
+
+def test_ranges_cover_the_ids_and_part_at_wide_gaps():
+    ids = [*range(0, 1000, 10), *range(50_000, 60_000, 100), 7, 7]
+    found = search._id_ranges(ids)
+    assert len(found) <= search.ID_RANGES and search._id_ranges([]) == []
+    assert all(any(a <= i <= b for a, b in found) for i in ids)
+    assert not any(a <= 30_000 <= b for a, b in found)
+
+
+def test_a_former_version_leaves_no_files(spark):
+    c.create_collection(spark, "kept-small", 2, external=True)
+    c.add_points(spark, "kept-small", rows(spark))
+    former = c._location(spark, "kept-small").removeprefix("file:")
+    assert Path(former).exists()
+    for _ in range(2):
+        c.replace_points(spark, "kept-small", c.open_collection(spark, "kept-small"))
+    assert not Path(former).exists()
+    place = Path(c._location(spark, "kept-small").removeprefix("file:"))
+    assert len(list(place.parent.iterdir())) == 1
+    assert c.open_collection(spark, "kept-small").count() == 20
+
+
+def test_a_column_is_declared_as_what_it_is(spark):
+    c.create_collection(spark, "declared", 2, shard_key="it's")
+    assert c.collection_properties(spark, "declared")["shard_key"] == "it's"
+    with pytest.raises(ValueError, match="is string, not bigint"):
+        c.declare_field(spark, "declared", "label", "integer")

@@ -8,6 +8,8 @@ from conftest import SF
 
 import __spark_entry__ as entry
 from check import compare
+from nearfield.plans.oracle import SQL
+from nearfield.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -18,14 +20,19 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, db, name):
     outcome = compare(spark, db, name, SF)
     assert outcome.startswith("equal") and "types" not in outcome, outcome
 
 
 def test_every_query_has_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert QUERIES.keys() == SQL.keys()
+
+
+def test_entry_offers_every_query():
+    assert QUERIES.keys() <= entry.queries().keys()
+    assert SQL.keys() <= entry.oracle_sql().keys() <= entry.queries().keys()
 
 
 def test_entry(spark):

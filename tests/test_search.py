@@ -1,8 +1,11 @@
+import uuid
+
 import numpy as np
 import pytest
 from conftest import plan
 from pyspark.sql import functions as F
 
+from nearfield.functions import predicates as p
 from nearfield.functions.encode import Bm25Encoder, HashingEncoder, ModelEncoder, query_weights
 from nearfield.operators import search, topk
 
@@ -187,3 +190,26 @@ def test_the_repeated_half_of_a_table_ties_by_id(spark):
     points = spark.createDataFrame(rows, "id bigint, dense array<double>").repartition(5)
     queries = spark.createDataFrame([(0, [1.0, 0.0])], "query_id bigint, dense array<double>")
     assert [i for i, _ in found(search.dense_search(points, queries, 5))[0]] == [0, 3, 6, 9, 12]
+
+
+def test_a_model_is_loaded_once_in_a_worker_process(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        return lambda texts: [[float(len(t))] for t in texts]
+
+    texts = spark.range(400).select(F.col("id").cast("string").alias("text")).repartition(40)
+    encoded = ModelEncoder(load, normalise=False).transform(texts, "text")
+    assert encoded.where(F.col("dense")[0] != F.length("text")).count() == 0
+    loads, cores = len(list(tmp_path.iterdir())), spark.sparkContext.defaultParallelism
+    assert 1 <= loads <= 2 * cores
+
+
+def test_places(spark):
+    rows = [(1, '{"lon": 179.5, "lat": 0}'), (2, '{"lon": -179.5, "lat": 0.0}'), (3, '{"lon": 0, "lat": 0}'), (4, "no"), (5, None)]
+    points = spark.createDataFrame(rows, "id bigint, place string").withColumn("at", p.place(F.col("place")))
+    near = points.filter(p.in_radius(F.col("at"), 179.9, 0, 100_000))
+    assert {r.id for r in near.collect()} == {1, 2}
+    assert {r.id for r in points.filter(p.in_box(F.col("at"), 179, -1, -179.6, 1)).collect()} == {1}
+    assert {r.id for r in points.filter(p.must_not(p.in_box(F.col("at"), -1, -1, 1, 1))).collect()} == {1, 2, 4, 5}
