@@ -17,6 +17,8 @@ from nearfield.session import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 # A task forgets its word hashes at this many words, to bound its memory.
 WORD_CACHE = 200_000
+# Rows whose texts a task holds as Python strings at a time.
+HELD_ROWS = 512
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -85,13 +87,16 @@ def gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
 
 
 def each_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Batches], Batches]:
-    """``make`` over every batch of a task; None gives no rows."""
+    """``make`` over the rows of a task, so many at a time; None gives no rows."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            made = make(batch)
-            if made is not None and made.num_rows:
-                yield made
+            for first in range(0, batch.num_rows, HELD_ROWS):
+                made = make(batch.slice(first, HELD_ROWS))
+                if made is not None and made.num_rows:
+                    yield made
+        # Workers are kept for later tasks; what Arrow freed is not.
+        pa.default_memory_pool().release_unused()
 
     return run
 
