@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import decontaminate, quality, simhash, substrings
+from nearfield.llm import decontaminate, quality, similar, substrings
 from nearfield.llm.common import stored, table
 from nearfield.llm.queries import mixture
 
@@ -21,8 +21,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the least id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (0.8 of their five-word shingles), that of the least id."""
+    return similar.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
