@@ -2,8 +2,9 @@
 
 Numbers, units after numbers and names become typed placeholders; what is left are words
 without case and outer punctuation. Windows of such tokens are looked up in a hash table of
-the benchmark's windows. For each document and item the values behind the placeholders must
-correspond one to one; windows whose values contradict the majority do not count.
+the benchmark's windows. For each occurrence of an item in a document the values behind the
+placeholders must correspond one to one; windows whose values contradict its majority do not
+count, and the best occurrence is reported.
 """
 
 from __future__ import annotations
@@ -140,19 +141,58 @@ class Items:
                     yield int(text[p]), int(which[j]), int(place[j]), p, size
 
 
-def _consistent(pairs: list[tuple[int, int, int]], slots: list[str | None], values: dict[int, str]) -> tuple[int, bool]:
-    """Windows of the item whose values correspond one to one with the text's, and whether any differ."""
+Window = tuple[int, int, int]
+
+
+def _kept(pairs: list[Window], first: list[Window], slots: list[str | None], values: dict[int, str]) -> tuple[list[Window], bool]:
+    """Windows whose values correspond one to one, and whether any differ; those of ``first`` are heard before all others."""
     def slot_pairs(place: int, at: int, size: int) -> list[tuple[str, str]]:
         return [(slots[place + k], values[at + k]) for k in range(size) if slots[place + k] is not None]
 
-    seen = Counter(v for w in pairs for v in slot_pairs(*w))
     there: dict[str, str] = {}
     back: dict[str, str] = {}
-    for (a, b), _ in sorted(seen.items(), key=lambda v: (-v[1], v[0])):
-        if a not in there and b not in back:
-            there[a], back[b] = b, a
+    for heard in (first, pairs):
+        seen = Counter(v for w in heard for v in slot_pairs(*w))
+        for (a, b), _ in sorted(seen.items(), key=lambda v: (-v[1], v[0])):
+            if a not in there and b not in back:
+                there[a], back[b] = b, a
     kept = [w for w in pairs if all(there.get(a) == b for a, b in slot_pairs(*w))]
-    return len({place for place, *_ in kept}), any(a != b for w in kept for a, b in slot_pairs(*w))
+    return kept, any(a != b for w in kept for a, b in slot_pairs(*w))
+
+
+def _occurrences(pairs: list[Window]) -> Iterator[list[Window]]:
+    """Windows of one place in the text minus place in the item, and of places a few tokens apart."""
+    along: dict[int, list[Window]] = defaultdict(list)
+    for w in pairs:
+        along[w[1] - w[0]].append(w)
+    gap = (min(size for *_, size in pairs) - 1) // 2
+    yield from along.values()
+    group: list[int] = []
+    for at in [*sorted(along), None]:
+        if group and (at is None or at - group[-1] > gap):
+            if len(group) > 1:
+                yield [w for g in group for w in along[g]]
+            group = []
+        group.append(at)
+
+
+def _best(pairs: list[Window], slots: list[str | None], values: dict[int, str]) -> tuple[list[Window], bool]:
+    """The consistent windows of the occurrence that has most, and whether their values differ.
+
+    Each occurrence of the item in the text is judged by itself; windows elsewhere that fit the
+    best one count with it. The vote of all windows together stands where it finds more.
+    """
+    def worth(found: tuple[list[Window], bool]) -> tuple[int, bool]:
+        return len({place for place, *_ in found[0]}), not found[1]
+
+    seed = max(_occurrences(pairs), key=lambda o: worth(_kept(o, [], slots, values)))
+    return max(_kept(pairs, seed, slots, values), _kept(pairs, [], slots, values), key=worth)
+
+
+def _consistent(pairs: list[Window], slots: list[str | None], values: dict[int, str]) -> tuple[int, bool]:
+    """Windows of the item whose values correspond one to one with the text's, and whether any differ."""
+    kept, changed = _best(pairs, slots, values)
+    return len({place for place, *_ in kept}), changed
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:

@@ -55,3 +55,19 @@ def test_passages_of_the_tables(spark, small):
     for d, i in found - verbatim:
         words = dict(items)[i].split()
         assert any(" ".join(words[k : k + 6]) in texts[d] for k in range(len(words) - 5))
+
+
+def test_each_occurrence_is_judged_by_itself(spark, docs):
+    def asked(numbers):
+        words = "a tank holds {} litres and a pump moves {} of them in {} minutes while {} leak out each {} hours so after {} days or {} weeks how many of {} remain"
+        return words.format(*numbers)
+
+    item = asked([11, 12, 13, 14, 15, 16, 17, 18])
+    others = [asked([100 * k + j for j in range(8)]) for k in range(1, 7)]
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    rows = docs((1, item), (2, f"{item} . {others[0]}"), (3, " . ".join([*others, item])), (4, " . ".join(others)), (5, f"{others[0]} {item}"),
+                (6, item.replace("while", "while it is the case that for some reason or other about")))
+    found = {r.doc_id: r for r in dc.contaminated(rows, bench).collect()}
+    assert set(found) == {1, 2, 3, 4, 5, 6}
+    assert all(found[i].share == 1.0 for i in (1, 2, 3, 4, 5))
+    assert {i for i, r in found.items() if r.reparameterised} == {4}
