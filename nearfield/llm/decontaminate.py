@@ -27,6 +27,8 @@ WINDOW = 8
 LEAST_WORDS = 4
 # Share of an item's windows that a document must have.
 SHARE = 0.3
+# Tokens of an item in a row, values unchanged, that are a match whatever their share.
+RUN = 13
 # Items looked up at once, and characters of their texts: bounds what every task holds.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000
 
@@ -102,14 +104,23 @@ class Tokens:
         code = np.where(kind == WORD, codes[at], _PLACEHOLDERS[kind])
         return code, kind, at, sizes
 
+    def exact(self, numbers: np.ndarray) -> np.ndarray:
+        """Codes of the tokens just numbered by ``of``, without placeholders."""
+        return self._made[0][numbers]
+
 
 class Items:
-    """Windows of a block of benchmark items, ready to look up."""
+    """Windows of a block of benchmark items, ready to look up.
+
+    Windows of too few words for placeholders keep their values and match those alone.
+    """
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW) -> None:
         tokens = Tokens()
         self.ids, self.slots, self.totals = [], [], Counter()
-        at: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+        # Of each item, which of its windows have placeholders.
+        self.open: dict[int, np.ndarray] = {}
+        at: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
         for item_id, text in items:
             code, kind, numbers, _ = tokens.of([text])
             size, k = min(window, len(code)), len(self.ids)
@@ -118,20 +129,29 @@ class Items:
             if not size:
                 continue
             words = np.convolve(kind == WORD, np.ones(size, int), "valid")
-            good = np.flatnonzero(words >= min(LEAST_WORDS, size))
-            if len(good):
-                at[size].append((gram_hashes(code, size)[good], np.full(len(good), k), good))
-                self.totals[k] = len(good)
+            self.open[k] = words >= min(LEAST_WORDS, size)
+            self.totals[k] = len(words)
+            for exact, codes in ((False, code), (True, tokens.exact(numbers))):
+                good = np.flatnonzero(self.open[k] != exact)
+                if len(good):
+                    at[size, exact].append((gram_hashes(codes, size)[good], np.full(len(good), k), good))
         self.windows = {}
-        for size, found in at.items():
+        for key, found in at.items():
             hashes, which, place = (np.concatenate(c) for c in zip(*found))
             order = np.argsort(hashes, kind="stable")
-            self.windows[size] = (hashes[order], which[order], place[order])
+            self.windows[key] = (hashes[order], which[order], place[order])
 
-    def matches(self, code: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, place in the item, place in the text, size) of each common window."""
-        for size, (hashes, which, place) in self.windows.items():
-            grams = gram_hashes(code, size)
+    def matches(self, code: np.ndarray, text: np.ndarray, exact_code: np.ndarray | None = None) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item, place in the item, place in the text, size) of each common window.
+
+        Windows that keep their values are looked up in ``exact_code`` only.
+        """
+        for (size, exact), (hashes, which, place) in self.windows.items():
+            if exact and exact_code is None:
+                continue
+            grams = gram_hashes(exact_code if exact else code, size)
+            if not len(grams):
+                continue
             low = np.searchsorted(hashes, grams, "left")
             hit = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == grams)
             hit = hit[text[hit] == text[hit + size - 1]]
@@ -195,6 +215,16 @@ def _consistent(pairs: list[Window], slots: list[str | None], values: dict[int,
     return len({place for place, *_ in kept}), changed
 
 
+def _longest(pairs: list[Window], slots: list[str | None], values: dict[int, str]) -> int:
+    """The most windows in a row, in the item and in the text, whose values are unchanged."""
+    same = {(at - place, place) for place, at, size in pairs if all(slots[place + k] in (None, values[at + k]) for k in range(size))}
+    most, length, last = 0, 0, None
+    for line, place in sorted(same):
+        length = length + 1 if last == (line, place - 1) else 1
+        most, last = max(most, length), (line, place)
+    return most
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size; the driver holds two of them at most."""
     block: list[tuple[int, str]] = []
@@ -213,7 +243,10 @@ FOUND = "doc_id bigint, item_id bigint, n_matched bigint, n_windows bigint, shar
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, window: int = WINDOW) -> DataFrame:
-    """One row for each row of ``docs`` and benchmark item whose windows it has, from ``share`` on.
+    """One row for each row of ``docs`` and benchmark item whose windows it has.
+
+    A match has ``share`` of all windows of the item, or of those with placeholders, or RUN of
+    its tokens in a row unchanged; n_matched and n_windows count what gives the greater share.
 
     ``docs`` has doc_id, text; ``benchmark`` item_id, text. Null and blank texts match nothing;
     an item shorter than a window is one window. A null doc_id keeps its rows; repeated rows
@@ -231,18 +264,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, wi
                 code, kind, numbers, sizes = tokens.of(batch.column(1).to_pylist())
                 text = np.repeat(np.arange(len(sizes)), sizes)
                 pairs: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-                for t, item, place, at, size in block.matches(code, text):
+                for t, item, place, at, size in block.matches(code, text, tokens.exact(numbers)):
                     pairs[t, item].append((place, at, size))
                 rows = []
                 for (t, item), windows in pairs.items():
-                    total = block.totals[item]
-                    if len({p for p, *_ in windows}) < share * total:
+                    total, opened = block.totals[item], block.open[item]
+                    row_of = max(1, RUN - windows[0][2] + 1)
+
+                    def of(found: set[int], total=total, opened=opened) -> tuple[int, int]:
+                        """Windows found and windows counted, of all or of those with placeholders, whichever is more."""
+                        n, m = sum(1 for p in found if opened[p]), int(opened.sum())
+                        return (n, m) if n * total > len(found) * m else (len(found), total)
+
+                    n, m = of({p for p, *_ in windows})
+                    if n < share * m and len(windows) < row_of:
                         continue
                     near = {at + k for _, at, size in windows for k in range(size)}
                     values = {p: tokens.values[numbers[p]] for p in near}
-                    n, changed = _consistent(windows, block.slots[item], values)
-                    if n >= share * total:
-                        rows.append((ids[t], block.ids[item], n, total, n / total, changed))
+                    kept, changed = _best(windows, block.slots[item], values)
+                    n, m = of({p for p, *_ in kept})
+                    if n < share * m:
+                        row = _longest(windows, block.slots[item], values)
+                        if row < row_of:
+                            continue
+                        if row >= n:
+                            n, m, changed = row, total, False
+                    rows.append((ids[t], block.ids[item], n, m, n / m, changed))
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip([c.split()[0] for c in FOUND.split(", ")], r)) for r in rows], schema=_SCHEMA)
 

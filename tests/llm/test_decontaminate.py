@@ -71,3 +71,16 @@ def test_each_occurrence_is_judged_by_itself(spark, docs):
     assert set(found) == {1, 2, 3, 4, 5, 6}
     assert all(found[i].share == 1.0 for i in (1, 2, 3, 4, 5))
     assert {i for i, r in found.items() if r.reparameterised} == {4}
+
+
+def test_every_item_has_windows_and_long_quotes_are_found(spark, docs):
+    long = " ".join(f"word{k}" for k in range(51))
+    items = ["1 2 4 8 16 32 what comes next", "What is 56?", "Who wrote Hamlet", long, "7 8 9 10 11 12 13 14 15 16"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    rows = docs((0, "so 1 2 4 8 16 32 what comes next is asked"), (1, "tell me: what is 56? please"), (2, "and who wrote Hamlet then"),
+                (3, "x " + " ".join(long.split()[20:33]) + " y"), (4, "count 7 8 9 10 11 12 13 14 15 16 on"), (5, " ".join(long.split()[20:32])),
+                (6, "so 3 2 4 8 16 33 what"), (7, "what is 57? who wrote Macbeth"), (8, "1 2 3 4 5 6 7 8 9"), (9, None), (10, "56"))
+    found = {(r.doc_id, r.item_id): r for r in dc.contaminated(rows, bench).collect()}
+    assert set(found) == {(k, k) for k in range(5)}
+    assert all(found[k, k].share == 1.0 for k in (0, 1, 2, 4)) and not any(r.reparameterised for r in found.values())
+    assert (found[3, 3].n_matched, found[3, 3].n_windows) == (6, 44)
