@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import chat, decontaminate, fingerprint, html_text, mixing, quality, simhash, substrings, toxicity, warc
+from nearfield.llm import (
+    chat, decontaminate, fingerprint, html_text, lm_scoring, mixing, quality, repair, simhash, spelling, substrings, toxicity, warc,
+)
 from nearfield.llm.common import table
 from nearfield.llm.oracle import SQL
 
@@ -91,3 +93,18 @@ def op9_document_fingerprints(spark, sf):
 @query
 def op10_toxicity(spark, sf):
     return toxicity.toxicity_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op11_lm_scoring(spark, sf):
+    return lm_scoring.scores(table(spark, sf, "documents"))
+
+
+@query
+def op12_spelling_variants(spark, sf):
+    return spelling.spelling_variants(table(spark, sf, "documents"))
+
+
+@query
+def op13_conversation_repair(spark, sf):
+    return repair.repair_report(table(spark, sf, "conversations"))
