@@ -30,6 +30,10 @@ BM25_B = 0.75
 WORD_CACHE = 1_000_000
 LOW_31_BITS = 0x7FFFFFFF
 
+# What one call of a user's model gets at most.
+MODEL_ROWS = 256
+MODEL_BYTES = 4 << 20
+
 
 class Encoder(Protocol):
     def transform(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame: ...
@@ -113,35 +117,58 @@ def _loaded(key: str, load: Callable[[], Callable]) -> Callable:
     return held.model
 
 
+def _calls(texts: pa.Array, rows: int, octets: int) -> Iterator[list[str]]:
+    """The texts in order, for calls of a model: so many rows and bytes each, but at least one text."""
+    part: list[str] = []
+    size = 0
+    for text in texts:
+        value = text.as_py() or ""
+        length = len(value.encode("utf-8", "surrogatepass"))
+        if part and (len(part) >= rows or size + length > octets):
+            yield part
+            part, size = [], 0
+        part.append(value)
+        size += length
+    if part:
+        yield part
+
+
 class ModelEncoder:
     """Dense vectors from a user's model.
 
     ``load`` runs once per worker process and returns a function from a list of texts to
-    a matrix with one row per text. ``out_col`` is by custom the model's name.
+    a matrix with one row per text. A call gets at most ``batch_rows`` texts of at most
+    ``batch_bytes`` together, but at least one. ``out_col`` is by custom the model's name.
     """
 
-    def __init__(self, load: Callable[[], Callable], normalise: bool = True) -> None:
+    def __init__(
+        self, load: Callable[[], Callable], normalise: bool = True, batch_rows: int = MODEL_ROWS, batch_bytes: int = MODEL_BYTES
+    ) -> None:
+        if batch_rows < 1 or batch_bytes < 1:
+            raise ValueError("batch_rows and batch_bytes must be positive")
         self.load = load
         self.normalise = normalise
+        self.batch_rows, self.batch_bytes = batch_rows, batch_bytes
         self.key = uuid.uuid4().hex
 
     def column(self, text: Column) -> Column:
         key, load, normalise = self.key, self.load, self.normalise
+        rows, octets = self.batch_rows, self.batch_bytes
 
         @F.arrow_udf("array<float>")
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             model = _loaded(key, load)
             for batch in batches:
-                texts = [t or "" for t in batch.to_pylist()]
+                texts = len(batch)
                 if not texts:
                     yield pa.array([], type=pa.list_(pa.float32()))
                     continue
-                vectors = np.asarray(model(texts), dtype=np.float64)
+                vectors = np.concatenate([np.asarray(model(part), dtype=np.float64) for part in _calls(batch, rows, octets)])
                 if normalise:
                     length = np.linalg.norm(vectors, axis=1, keepdims=True)
                     vectors = vectors / np.where(length > 0, length, 1)
                 flat = vectors.astype(np.float32).ravel()
-                yield _list_array(flat, [vectors.shape[1]] * len(texts), pa.float32())
+                yield _list_array(flat, [vectors.shape[1]] * texts, pa.float32())
 
         return encode(text)
 
@@ -149,6 +176,54 @@ class ModelEncoder:
         return df.withColumn(out_col, self.column(F.col(text_col)))
 
 
+class SparseModelEncoder:
+    """Sparse vectors from a user's model, such as one that weighs terms.
+
+    ``load`` runs once per worker process and returns a function from a list of texts to one
+    (indices, values) pair per text. Weights of one index are added up, those of zero left
+    out, indices sorted; a null text gets no vector. Calls are as for ``ModelEncoder``.
+    """
+
+    def __init__(self, load: Callable[[], Callable], batch_rows: int = MODEL_ROWS, batch_bytes: int = MODEL_BYTES) -> None:
+        if batch_rows < 1 or batch_bytes < 1:
+            raise ValueError("batch_rows and batch_bytes must be positive")
+        self.load = load
+        self.batch_rows, self.batch_bytes = batch_rows, batch_bytes
+        self.key = uuid.uuid4().hex
+
+    def column(self, text: Column) -> Column:
+        key, load, rows, octets = self.key, self.load, self.batch_rows, self.batch_bytes
+
+        @F.arrow_udf(SPARSE_TYPE)
+        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            model = _loaded(key, load)
+            for batch in batches:
+                sizes, indices, values = [], [np.empty(0, np.int32)], [np.empty(0, np.float32)]
+                for part in _calls(batch, rows, octets):
+                    made = list(model(part))
+                    if len(made) != len(part):
+                        raise ValueError(f"the model returned {len(made)} vectors for {len(part)} texts")
+                    for index, value in made:
+                        index, value = np.asarray(index, np.int64), np.asarray(value, np.float64)
+                        if len(index) != len(value):
+                            raise ValueError(f"the model returned {len(index)} indices with {len(value)} values")
+                        if len(index) and not 0 <= index.min() <= index.max() <= LOW_31_BITS:
+                            raise ValueError("indices must be between 0 and 2^31 - 1")
+                        own, at = np.unique(index, return_inverse=True)
+                        total = np.bincount(at, weights=value, minlength=len(own)).astype(np.float32)
+                        kept = total != 0
+                        indices.append(own[kept].astype(np.int32))
+                        values.append(total[kept])
+                        sizes.append(int(kept.sum()))
+                lists = [_list_array(np.concatenate(indices), sizes, pa.int32()), _list_array(np.concatenate(values), sizes, pa.float32())]
+                yield pa.StructArray.from_arrays(lists, names=["indices", "values"], mask=batch.is_null())
+
+        return encode(text)
+
+    def transform(self, df: DataFrame, text_col: str, out_col: str = "sparse") -> DataFrame:
+        return df.withColumn(out_col, self.column(F.col(text_col)))
+
+
 def word_counts(text: Column) -> Column:
     """Sparse vector of how often each word occurs, indexed by 31 bits of its md5."""
 

@@ -20,7 +20,7 @@ def latest(points: DataFrame, order_by: str) -> DataFrame:
     return points.groupBy("id").agg(kept).select("id", "kept.*")
 
 
-def _check_single(changes: DataFrame) -> None:
+def check_single(changes: DataFrame) -> None:
     repeated = changes.groupBy("id").count().where("count > 1").limit(1).collect()
     if repeated:
         raise ValueError(f"id {repeated[0].id} is repeated; name the column that orders its changes")
@@ -35,7 +35,7 @@ def upsert(points: DataFrame, new: DataFrame, order_by: str | None = None) -> Da
     if order_by is not None:
         new = latest(new, order_by)
     else:
-        _check_single(new)
+        check_single(new)
     return delete_ids(points, new).unionByName(new)
 
 
@@ -74,7 +74,7 @@ def set_payloads(points: DataFrame, updates: DataFrame, order_by: str | None = N
     per key the last value wins. Without an order, a repeated id is an error.
     """
     if order_by is None:
-        _check_single(updates)
+        check_single(updates)
     else:
         entries = updates.select("id", order_by, F.explode("payload").alias("key", "value"))
         last = entries.groupBy("id", "key").agg(F.max_by("value", order_by).alias("value"))

@@ -32,6 +32,8 @@ from nearfield.session import broadcast_if_small, stored
 PAIR_BLOCK = 8192
 PAIR_CHUNK = 512
 GRID_AXES = 3
+# More signs than this make more cells than points are worth reading apart.
+MAX_CODE_BITS = 16
 # A grid pays once a cell is this much narrower than the range of random shadows.
 GRID_GAIN = 0.5
 ROUNDING = 10.0**-SCORE_DIGITS
@@ -96,6 +98,13 @@ def band_codes(dense: Column, bits: int, bands: int) -> Column:
     return _on_directions(dense, bits * bands, code, bands)
 
 
+def hyperplane_code(vector: str | Column, bits: int) -> Column:
+    """The signs of a vector on ``bits`` fixed hyperplanes as a number; a null vector has code 0."""
+    if not 1 <= bits <= MAX_CODE_BITS:
+        raise ValueError(f"bits must be between 1 and {MAX_CODE_BITS}, not {bits}")
+    return band_codes(F.col(vector) if isinstance(vector, str) else vector, bits, 1)[0]
+
+
 class _BestPairs:
     """The n best pairs so far: by rounded score, then by ids."""
 
@@ -302,9 +311,7 @@ def _best(found: DataFrame, n: int) -> DataFrame:
 def most_similar_pairs(
     points: DataFrame, n: int = 5, using: str = "dense"
 ) -> DataFrame:
-    """The n pairs of largest cosine: (rank, id_a, id_b, score), id_a < id_b.
-
-    """
+    """The n pairs of largest cosine: (rank, id_a, id_b, score), id_a < id_b."""
     vectors = _vectors(points, using)
     blocks = vectors.count() // PAIR_BLOCK + 1
     floor, longest = None, 1

@@ -68,11 +68,22 @@ def recommend(
     queries = example_vectors(points, broadcast_if_small(examples), distance, using)
     if options is not None:
         queries = queries.join(options, "query_id", "left")
-    excluded = examples.groupBy("id").agg(F.collect_set("query_id").alias("excluded_by"))
+    # So many hits more are asked for as a request's own examples may take up.
+    own = examples.groupBy("query_id").agg(F.count("*").alias("own"))
+    wanted = F.coalesce(F.col("k"), F.lit(k)) if "k" in queries.columns else F.lit(k)
+    asked = stored(queries.withColumn("wanted", wanted).join(own, "query_id").withColumn("k", F.col("wanted") + F.col("own")))
     candidates = points if condition is None else points.filter(condition)
-    marked = candidates.join(broadcast_if_small(excluded), "id", "left")
-    hits, most = topk(marked, queries, Branch(using, distance), k)
-    return shape_hits(hits, candidates, most)
+    hits, most = topk(candidates, asked.drop("wanted", "own"), Branch(using, distance), k)
+    shown = examples.select("query_id", "id")
+    order = Window.partitionBy("query_id").orderBy("rank")
+    left = (
+        hits.join(broadcast_if_small(shown), ["query_id", "id"], "left_anti")
+        .withColumn("rank", F.row_number().over(order))
+        .join(asked.select("query_id", "wanted"), "query_id")
+        .filter(F.col("rank") <= F.col("wanted"))
+        .select("query_id", "rank", "id", "score")
+    )
+    return shape_hits(left, candidates, most)
 
 
 def label_examples(points: DataFrame, requests: DataFrame, count: int = LABEL_EXAMPLES) -> DataFrame:
@@ -112,10 +123,29 @@ def recommend_by_label(
 ) -> DataFrame:
     """``recommend`` with the first points of each label as examples.
 
-    A positive label that no point carries is an error.
+    A request whose positive label no point carries has no hits; ``label_reasons`` says so.
     """
-    examples = stored(label_examples(points, requests))
-    missing = requests.join(examples.filter("positive"), "query_id", "left_anti").first()
-    if missing is not None:
-        raise ValueError(f"no points found with positive label: {missing['positive_label']}")
-    return recommend(points, examples, k, distance, None, condition, using)
+    return recommend(points, label_examples(points, requests), k, distance, None, condition, using)
+
+
+def label_reasons(points: DataFrame, requests: DataFrame) -> DataFrame:
+    """``requests`` with ``reason``: why one cannot be answered, null where it can."""
+    sides = [c for c in ("positive_label", "negative_label") if c in requests.columns]
+    asked = requests.select(F.explode(F.array(*(F.col(c).cast("string") for c in sides))).alias("label")).distinct()
+    carried = points.select(F.col("label").cast("string").alias("label"))
+    known = carried.join(broadcast_if_small(asked), "label", "left_semi").distinct().withColumn("known", F.lit(True))
+    known = stored(known)
+    reason = F.lit(None).cast("string")
+    out = requests
+    for side in reversed(sides):
+        kind = side.split("_")[0]
+        found = known.select(F.col("label").alias(f"known_{side}"))
+        label = F.col(side).cast("string")
+        out = out.join(broadcast_if_small(found), label == F.col(f"known_{side}"), "left")
+        unknown = F.concat(F.lit(f"no points found with {kind} label: "), label)
+        absent = F.col(f"known_{side}").isNull()
+        if side == "positive_label":
+            reason = F.when(F.col(side).isNull(), f"{kind} label is missing").when(absent, unknown).otherwise(reason)
+        else:
+            reason = F.when(absent & F.col(side).isNotNull(), unknown).otherwise(reason)
+    return out.withColumn("reason", reason).select(*requests.columns, "reason")

@@ -39,16 +39,17 @@ def _near(payload: DataFrame, ids: list[int]) -> DataFrame:
 
 
 def shape_hits(
-    hits: DataFrame, points: DataFrame, most: int | None, payload: DataFrame | None = None
+    hits: DataFrame, points: DataFrame, most: int | None, payload: DataFrame | None = None, by_id: bool = False
 ) -> DataFrame:
     """Adds label and text to ranked hits.
 
-    At most 10,000 hits (by the number of queries) are found first, so that the payload
-    scan can skip what lies outside their ids. A missing label reads ``unknown``; text
-    stays null where the points have none.
+    Few hits (by the number of queries) are broadcast to the points; more meet them by id.
+    Points that lie in files ``by_id``: at most 10,000 hits are found first, so that the
+    payload scan can skip what lies outside their ids. A missing label reads ``unknown``;
+    text stays null where the points have none.
     """
     points = points if payload is None else payload
-    if most is not None and most <= MAX_FETCHED_HITS and "text" in points.columns:
+    if by_id and most is not None and most <= MAX_FETCHED_HITS and "text" in points.columns:
         found = hits.toArrow()
         hits = F.broadcast(hits.sparkSession.createDataFrame(found))
         points = _near(points, found.column("id").to_pylist())
@@ -79,17 +80,19 @@ def dense_search(
     condition: Column | None = None,
     using: str = "dense",
     payload: DataFrame | None = None,
+    by_id: bool = False,
 ) -> DataFrame:
     """The k nearest points of every query.
 
     ``queries``: query_id, the vector column, and optionally label (exact match),
     threshold (a lower bound, for Euclid an upper bound) and k, per query.
     ``condition`` restricts the points for all queries, e.g. to one shard key.
-    ``payload`` may name another table to read the hits' label and text from.
+    ``payload`` may name another table to read the hits' label and text from; ``by_id``
+    says that it lies in files by id.
     """
     points = _chosen(points, condition)
     hits, most = topk(points, queries, Branch(using, distance), k)
-    return shape_hits(hits, points, most, payload)
+    return shape_hits(hits, points, most, payload, by_id)
 
 
 def sparse_search(
@@ -158,4 +161,6 @@ def search_collection(
     if vector not in queries.columns:
         queries = queries.withColumnRenamed("dense", vector)
     points = open_collection(spark, name, shards)
-    return dense_search(points, queries, k, given["distance"], condition, using=vector)
+    # Buckets hold their points in the order of id.
+    by_id = not ({"shard_key", "parts", "code_bits"} & given.keys() or any(k.startswith("field.") for k in given))
+    return dense_search(points, queries, k, given["distance"], condition, using=vector, by_id=by_id)

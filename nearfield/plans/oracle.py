@@ -311,6 +311,29 @@ SQL["recommend_by_label"] = _recommended(
 )
 
 
+SQL["label_request_reasons"] = """
+SELECT vec_id AS query_id, CASE WHEN vec_id % 7 = 0 THEN 'no points found with positive label: x' || label
+                                WHEN vec_id % 3 = 0 THEN 'no points found with negative label: none' END AS reason
+FROM embeddings"""
+
+# Signs of 6 fixed hyperplanes; of all 64 ways to turn them, the 46 that cost least.
+SQL["approx_topk"] = _with(
+    POINTS,
+    """
+    h AS (SELECT h, list(CASE WHEN ('0x' || substr(md5(h || '_' || i), 1, 1))::INT < 8 THEN 1.0::DOUBLE
+                              ELSE -1.0::DOUBLE END ORDER BY i) AS w
+          FROM range(6) a(h), range(64) b(i) GROUP BY h),
+    g AS (SELECT id, h, list_dot_product(dense::DOUBLE[], w) AS shadow FROM p, h),
+    c AS (SELECT id, sum(CASE WHEN shadow >= 0 THEN 1 << h ELSE 0 END) AS code FROM g GROUP BY id),
+    t AS (SELECT id, t, sum(CASE WHEN (t >> h) & 1 = 1 THEN shadow * shadow ELSE 0 END) AS cost
+          FROM g, range(64) a(t) WHERE id % 20 = 0 GROUP BY id, t),
+    b AS (SELECT id, t FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cost, t) AS nth FROM t) WHERE nth <= 46),
+    k AS (SELECT b.id AS query_id, o.id FROM b JOIN c USING (id) JOIN c o ON o.code = xor(c.code::BIGINT, b.t::BIGINT)),
+    q AS (SELECT id AS query_id, dense FROM p WHERE id % 20 = 0)""".strip(),
+    _ranked(_cosine("q.dense", "p.dense"), where="(q.query_id, p.id) IN (SELECT query_id, id FROM k)").strip(),
+)
+
+
 # -- similar pairs ----------------------------------------------------------------
 
 
@@ -429,6 +452,12 @@ WITH w AS (
     UNION ALL SELECT vec_id, 'second', embedding FROM embeddings WHERE label % 2 = 0 AND vec_id % 3 = 0
     UNION ALL SELECT vec_id + 1000000, 'new', embedding FROM embeddings WHERE label % 2 = 0)
 SELECT id, label, (generate_subscripts(v, 1) - 1)::INT AS i, round(unnest(v)::DOUBLE, 6) + 0 AS x FROM w"""
+SQL["collection_changes"] = """
+WITH w AS (SELECT vec_id AS id, CASE WHEN label % 2 = 1 THEN 'turned' ELSE label::VARCHAR END AS label,
+                  CASE WHEN vec_id % 5 = 0 THEN 'yes' END AS checked,
+                  CASE WHEN label % 2 = 1 THEN list_reverse(embedding) ELSE embedding END AS v
+           FROM embeddings WHERE vec_id % 11 <> 0)
+SELECT id, label, checked, (generate_subscripts(v, 1) - 1)::INT AS i, round(unnest(v)::DOUBLE, 6) + 0 AS x FROM w"""
 SQL["delete_ids"] = (
     "SELECT doc_id AS id, lang AS label FROM documents"
     " WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"
@@ -471,6 +500,13 @@ WITH n AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents)
 SELECT id, unnest([0, 1, 2])::INT AS i,
        unnest([length(text), length(text) - length(replace(text, 'e', '')),
                length(text) - length(replace(text, ' ', ''))])::DOUBLE AS x FROM n"""
+SQL["user_sparse_encode"] = """
+SELECT id, index::INT AS index, weight::DOUBLE AS weight FROM (
+    SELECT doc_id AS id, unnest([0, 4, 8, 14, 20]) AS index,
+           unnest([length(text) - length(replace(text, 'a', '')), length(text) - length(replace(text, 'e', '')),
+                   length(text) - length(replace(text, 'i', '')), length(text) - length(replace(text, 'o', '')),
+                   length(text) - length(replace(text, 'u', ''))]) AS weight FROM documents)
+WHERE weight > 0"""
 SQL["geo_filter"] = """
 WITH g AS (SELECT vec_id AS id, label::VARCHAR AS label,
                   vec_id * 37 % 360 - 180 AS lon, vec_id * 17 % 180 - 90 AS lat FROM embeddings)
@@ -496,3 +532,13 @@ SELECT id, label, (generate_subscripts(v, 1) - 1)::INT AS i, round(unnest(v)::DO
 SQL["incremental_ingest_numbered"] = (
     "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, doc_id, lang, n_chars FROM documents"
 )
+SQL["stream_collection"] = """
+WITH w AS (
+    SELECT vec_id AS id, label::VARCHAR AS label, embedding AS v FROM embeddings
+    WHERE label % 2 = 1 OR (vec_id % 4 = 0 AND vec_id % 3 <> 0)
+    UNION ALL SELECT vec_id, 'first', list_reverse(embedding) FROM embeddings WHERE label % 2 = 0 AND vec_id % 4 <> 0 AND vec_id % 3 <> 0
+    UNION ALL SELECT vec_id, 'second', embedding FROM embeddings WHERE label % 2 = 0 AND vec_id % 3 = 0),
+n AS (SELECT count(*) + count(*) FILTER (WHERE label % 2 = 0 AND vec_id % 4 <> 0)
+             + count(*) FILTER (WHERE label % 2 = 0 AND vec_id % 3 = 0) AS total FROM embeddings)
+SELECT id, label, (generate_subscripts(v, 1) - 1)::INT AS i, round(unnest(v)::DOUBLE, 6) + 0 AS x, NULL::VARCHAR AS reason, total FROM w, n
+UNION ALL SELECT vec_id, NULL, 20, NULL, 'vector has another size', total FROM embeddings, n WHERE label % 2 = 0 AND vec_id % 4 = 0"""

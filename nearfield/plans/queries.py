@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import distance as dist
 from nearfield.functions import predicates as p
-from nearfield.functions.encode import Bm25Encoder, HashingEncoder, ModelEncoder, query_weights
+from nearfield.functions.encode import Bm25Encoder, HashingEncoder, ModelEncoder, SparseModelEncoder, query_weights
 from nearfield.functions.text import clean_text, tokens
 from nearfield.functions.text import lookup as lookup_value
-from nearfield.operators import analytics, lookup, mutate, pairs, recommend, report, search, validate
+from nearfield.operators import analytics, lookup, mutate, neighbours, pairs, recommend, report, search, validate
 from nearfield.plans import tables as t
 from nearfield.plans.ingest import ingest
 from nearfield.schema import Scenario
 from nearfield.session import broadcast_if_small, shared_dir
+from nearfield.sources import changes
 from nearfield.sources import collection as c
 from nearfield.sources import parquet as src
 from nearfield.streaming import ingest as stream
@@ -221,6 +222,34 @@ def recommend_by_label(spark, sf):
     return _hits(recommend.recommend_by_label(points, requests))
 
 
+@query
+def label_request_reasons(spark, sf):
+    """Requests by label, some of labels that no point has: which can be answered, and why not."""
+    points = t.embeddings(spark, sf)
+    requests = points.select(
+        F.col("id").alias("query_id"),
+        F.when(F.col("id") % 7 == 0, F.concat(F.lit("x"), "label")).otherwise(F.col("label")).alias("positive_label"),
+        F.when(F.col("id") % 3 == 0, F.lit("none")).when(F.col("id") % 3 == 1, "1").alias("negative_label"),
+    )
+    return recommend.label_reasons(points, requests).select("query_id", "reason")
+
+
+# -- approximate search -----------------------------------------------------------
+
+APPROX_BITS, APPROX_PROBES = 6, 46
+
+
+@query
+def approx_topk(spark, sf):
+    """Every twentieth point against all, in a collection laid out by code; only probed cells are read."""
+    name = _fresh_name("coded")
+    points = t.embeddings(spark, sf)
+    c.create_collection(spark, name, 64, code_bits=APPROX_BITS, external=True)
+    c.add_points(spark, name, points)
+    queries = points.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "dense")
+    return _hits(neighbours.approximate_search(c.open_collection(spark, name), queries, APPROX_BITS, APPROX_PROBES))
+
+
 # -- similar pairs ----------------------------------------------------------------
 
 
@@ -297,6 +326,20 @@ def user_model_encode(spark, sf):
     return _elements(encoder.transform(src.spread(t.documents(spark, sf)), "text", "letters"), "letters")
 
 
+def _vowel_model():
+    """A stand-in for a user's sparse model: how often each vowel occurs, at its place in the alphabet."""
+    return lambda texts: [([ord(v) - 97 for v in "aeiou"], [t.count(v) for v in "aeiou"]) for t in texts]
+
+
+@query
+def user_sparse_encode(spark, sf):
+    encoder = SparseModelEncoder(_vowel_model, batch_rows=64)
+    points = encoder.transform(src.spread(t.documents(spark, sf)), "text")
+    return points.select("id", F.explode(F.arrays_zip("sparse.indices", "sparse.values")).alias("w")).select(
+        "id", F.col("w.indices").alias("index"), F.col("w.values").cast("double").alias("weight")
+    )
+
+
 # -- sources ----------------------------------------------------------------------
 
 
@@ -477,6 +520,25 @@ def _elements_with_label(points: DataFrame) -> DataFrame:
     return rows.select("id", "label", "i", (F.round(F.col("x").cast("double"), 6) + 0.0).alias("x"))
 
 
+@query
+def collection_changes(spark, sf):
+    """A saved collection after an upsert, a payload merge and a delete, some merged into its parts, some pending."""
+    name = _fresh_name("changing")
+    points = t.embeddings(spark, sf)
+    odd = F.col("label").cast("int") % 2 == 1
+    c.create_collection(spark, name, 64, parts=8, external=True)
+    c.add_points(spark, name, points)
+    turned = points.filter(odd).select("id", F.reverse("dense").alias("dense"), F.lit("turned").alias("label"))
+    changes.upsert_into(spark, name, turned)
+    checked = points.filter("id % 5 = 0").select("id", F.create_map(F.lit("checked"), F.lit("yes")).alias("payload"))
+    changes.set_payloads_in(spark, name, checked)
+    changes.compact(spark, name)
+    changes.delete_from(spark, name, points.filter("id % 11 = 0").select("id"))
+    held = c.open_collection(spark, name)
+    rows = held.select("id", "label", F.try_element_at("payload", F.lit("checked")).alias("checked"), F.posexplode("dense").alias("i", "x"))
+    return rows.select("id", "label", "checked", "i", (F.round(F.col("x").cast("double"), 6) + 0.0).alias("x"))
+
+
 @query
 def delete_ids(spark, sf):
     toxic = t.table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
@@ -653,3 +715,25 @@ def incremental_ingest_numbered(spark, sf):
     points = files.select("doc_id", "lang", "n_chars")
     stream.stream_points(points, path, checkpoint, number_by="doc_id").awaitTermination()
     return stream.read_streamed(spark, path).select("id", "doc_id", "lang", "n_chars")
+
+
+@query
+def stream_collection(spark, sf):
+    """Three batches into a collection: new points, replacements, and vectors of a wrong size, which are set aside."""
+    source, checkpoint = shared_dir(spark, "arriving"), shared_dir(spark, "progress")
+    name = _fresh_name("streamed")
+    c.create_collection(spark, name, 64, parts=8, external=True)
+    base = t.embeddings(spark, sf)
+    even = base.filter(F.col("label").cast("int") % 2 == 0)
+    short = F.when(F.col("id") % 4 == 0, F.slice("dense", 1, 20)).otherwise(F.reverse("dense"))
+    first = even.withColumns({"dense": short, "label": F.lit("first")})
+    second = even.filter("id % 3 = 0").withColumn("label", F.lit("second"))
+    for arriving in (base, first, second):
+        arriving.write.mode("append").parquet(source)
+        points = spark.readStream.schema(base.schema).parquet(source)
+        stream.stream_into(points, name, checkpoint).awaitTermination()
+    held = _elements_with_label(c.open_collection(spark, name)).select("*", F.lit(None).cast("string").alias("reason"))
+    aside = stream.rejected_points(spark, name)
+    aside = aside.select("id", F.lit(None).cast("string").alias("label"), F.col("size").alias("i"), F.lit(None).cast("double").alias("x"), "reason")
+    total = F.lit(stream.stream_ledger(spark, name)["total"]).cast("bigint")
+    return held.unionByName(aside).withColumn("total", total)

@@ -1,8 +1,8 @@
 """Collections: catalog tables of points.
 
-Vector size, distance and declared payload fields live in the table properties.
-A change writes a new table and puts it in the old one's place; a table is never
-overwritten while it is read.
+Vector size, distance, layout and declared payload fields live in the table properties.
+A change of the layout writes a new table and puts it in the old one's place. Changes of
+points can be kept beside the table (``changes.py``); reading merges them.
 """
 
 from __future__ import annotations
@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.distance import check_distance
 from nearfield.operators.analytics import collection_stats
+from nearfield.operators.pairs import hyperplane_code
 from nearfield.schema import DEFAULT_SHARDS, POINT_SCHEMA, check_collection_name
-from nearfield.session import shared_dir
+from nearfield.session import broadcast_if_small, shared_dir
 
 _PREFIX = "nearfield."
 
+# Bytes of a part of a collection laid out for changes.
+PART_BYTES = 256 << 20
+
 # The kinds of payload field, and the column type of each.
 FIELD_TYPES = {
     "keyword": "string",
@@ -48,14 +52,38 @@ def list_fields(spark: SparkSession, name: str) -> dict[str, str]:
     return {k[len("field.") :]: v for k, v in given.items() if k.startswith("field.")}
 
 
+def part_of(id_col: str, count: int) -> Column:
+    """The part that an id's point lies in, of so many."""
+    return F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(count)).cast("int")
+
+
+def parts_for(size: int, least: int = DEFAULT_SHARDS, part_bytes: int = PART_BYTES) -> int:
+    """Parts of a collection of so many bytes, at least ``least``."""
+    return max(least, -(-size // part_bytes))
+
+
+def layout_columns(given: dict[str, str]) -> list[str]:
+    """Columns by which the collection's files lie in folders, made from others."""
+    return ["part"] if "parts" in given else ["code"] if "code_bits" in given else []
+
+
 def _arranged(points: DataFrame, given: dict[str, str]) -> DataFrame:
     """The points as the collection's files want them.
 
-    Declared fields: neighbouring values share files, whose min and max then skip them;
-    the id splits a value that very many points have. Shard key: one value's rows lie
-    together, a crowded value is split by size. Otherwise: each task holds one bucket.
+    Parts: each task holds one part of the ids. Codes: points of one hyperplane code lie
+    together, a crowded code is split by id. Declared fields: neighbouring values share
+    files, whose min and max then skip them; the id splits a value that very many points
+    have. Shard key: one value's rows lie together, a crowded value is split by size.
+    Otherwise: each task holds one bucket.
     """
     spark, shards, key = points.sparkSession, int(given["shards"]), given.get("shard_key")
+    if "parts" in given:
+        count = int(given["parts"])
+        return points.drop("part").withColumn("part", part_of("id", count)).repartitionById(count, F.col("part"))
+    if "code_bits" in given:
+        vector = given.get("vector", "dense")
+        coded = points.drop("code").withColumn("code", hyperplane_code(vector, int(given["code_bits"])))
+        return coded.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "code", "id")
     fields = [k[len("field.") :] for k in given if k.startswith("field.")]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if fields:
@@ -69,7 +97,9 @@ def _arranged(points: DataFrame, given: dict[str, str]) -> DataFrame:
 
 def _write(spark: SparkSession, name: str, points: DataFrame, given: dict[str, str]) -> None:
     writer = _arranged(points, given).write.format("parquet")
-    if given.get("shard_key"):
+    if layout_columns(given):
+        writer = writer.partitionBy(*layout_columns(given))
+    elif given.get("shard_key"):
         writer = writer.partitionBy(given["shard_key"])
     elif not any(k.startswith("field.") for k in given):
         writer = writer.bucketBy(int(given["shards"]), "id").sortBy("id")
@@ -90,17 +120,23 @@ def create_collection(
     shard_key: str | None = None,
     external: bool = False,
     vector: str = "dense",
+    parts: int | None = None,
+    code_bits: int | None = None,
 ) -> None:
     """An empty collection; one of that name must not exist.
 
     ``vector`` names the column of dense vectors, by custom after their model.
     Without a shard key, points are bucketed by id into ``shards``. With one, each of
-    its values gets a partition. ``external`` puts the files in the shared folder
-    instead of the warehouse.
+    its values gets a partition. With ``parts`` (see ``parts_for``) they lie in so many
+    parts by id, which ``changes`` rewrites one by one; with ``code_bits`` by their
+    hyperplane code, for approximate search. ``external`` puts the files in the shared
+    folder instead of the warehouse.
     """
     check_distance(distance)
-    if dim <= 0 or shards <= 0:
-        raise ValueError("dim and shards must be positive")
+    if dim <= 0 or shards <= 0 or (parts is not None and parts <= 0):
+        raise ValueError("dim, shards and parts must be positive")
+    if sum(x is not None for x in (shard_key, parts, code_bits)) > 1:
+        raise ValueError("a collection is laid out by shard key, parts or codes, not by several")
     empty = spark.createDataFrame([], POINT_SCHEMA)
     if vector != "dense" and vector in empty.columns:
         raise ValueError(f"vector name {vector!r}: that column holds something else")
@@ -112,6 +148,10 @@ def create_collection(
     given = {"dim": str(dim), "distance": distance, "vector": vector, "shards": str(shards)}
     if shard_key:
         given["shard_key"] = shard_key
+    if parts is not None:
+        given["parts"] = str(parts)
+    if code_bits is not None:
+        given["code_bits"] = str(code_bits)
     if external:
         given["external"] = "true"
     _write(spark, name, empty, given)
@@ -119,7 +159,8 @@ def create_collection(
 
 def recreate_collection(spark: SparkSession, name: str, dim: int, **options) -> None:
     """Replaces the collection, if there is one, by an empty one."""
-    spark.sql(f"DROP TABLE IF EXISTS {_quoted(name)}")
+    for table in (changes_name(name), journal_name(name), f"{name}__rejected", name):
+        spark.sql(f"DROP TABLE IF EXISTS {_quoted(table)}")
     create_collection(spark, name, dim, **options)
 
 
@@ -140,7 +181,7 @@ def prepare_collection(
 def open_collection(spark: SparkSession, name: str, shards: list | None = None) -> DataFrame:
     """The points; ``shards`` reads only the partitions of those shard key values."""
     restore(spark, name)
-    points = spark.table(_quoted(name))
+    points = _with_changes(spark, name, spark.table(_quoted(name)))
     if shards is None:
         return points
     key = collection_properties(spark, name).get("shard_key")
@@ -149,6 +190,70 @@ def open_collection(spark: SparkSession, name: str, shards: list | None = None)
     return points.filter(F.col(f"`{key}`").isin(shards))
 
 
+def changes_name(name: str) -> str:
+    return f"{name}__changes"
+
+
+def journal_name(name: str) -> str:
+    return f"{name}__journal"
+
+
+def overwrite_partitions(rows: DataFrame, table: str) -> None:
+    """Puts ``rows`` in place of the partitions of ``table`` that they lie in, and of no other."""
+    conf, key = rows.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(key)
+    conf.set(key, "dynamic")
+    try:
+        rows.select(*rows.sparkSession.table(table).columns).write.insertInto(table, overwrite=True)
+    finally:
+        conf.set(key, before)
+
+
+def side_table(
+    spark: SparkSession, name: str, kind: str, like: DataFrame | None = None, partition_by: list[str] | None = None
+) -> str | None:
+    """The name of a table kept beside the collection; ``like`` makes it, empty, where it is missing."""
+    table = _quoted(f"{name}__{kind}")
+    if not spark.catalog.tableExists(table):
+        if like is None:
+            return None
+        writer = like.limit(0).write.format("parquet").partitionBy(*(partition_by or []))
+        if collection_properties(spark, name).get("external") == "true":
+            writer = writer.option("path", shared_dir(spark, "collections", f"{name}__{kind}"))
+        writer.saveAsTable(table)
+    return table
+
+
+def pending_changes(spark: SparkSession, name: str, given: dict[str, str]) -> DataFrame | None:
+    """The last change of each id that the table does not hold yet: point columns, deleted, version."""
+    version, compacted = int(given.get("version", 0)), int(given.get("compacted", 0))
+    if version <= compacted:
+        return None
+    # A version beyond the committed one is left from a write that broke off.
+    pending = spark.table(_quoted(changes_name(name))).filter(F.col("version").between(compacted + 1, version))
+    last = pending.groupBy("id").agg(F.max("version").alias("version"))
+    return pending.join(last, ["id", "version"])
+
+
+def merge_changes(points: DataFrame, pending: DataFrame | None) -> DataFrame:
+    """The points with pending changes in place of those of the same ids."""
+    if pending is None:
+        return points
+    unchanged = points.join(broadcast_if_small(pending.select("id")), "id", "left_anti")
+    return unchanged.unionByName(pending.filter("NOT deleted").select(*points.columns))
+
+
+def _with_changes(spark: SparkSession, name: str, points: DataFrame) -> DataFrame:
+    """What the collection holds: without its part column, with changes kept beside it."""
+    if "part" not in points.columns:
+        return points
+    given = collection_properties(spark, name)
+    if "parts" not in given:
+        return points
+    # Rows without an id mark parts that have lost all their points.
+    return merge_changes(points.filter("id IS NOT NULL").drop("part"), pending_changes(spark, name, given))
+
+
 def _of_size(vector: Column, dim: int) -> Column:
     """The vector, if it has the collection's size; the write fails where it has not."""
     wrong = F.raise_error(F.concat(F.lit(f"vector size must be {dim}, not "), F.size(vector)))
@@ -162,17 +267,24 @@ def add_points(spark: SparkSession, name: str, points: DataFrame) -> None:
     another size are errors.
     """
     given = collection_properties(spark, name)
-    unknown = set(points.columns) - set(spark.table(_quoted(name)).columns)
+    _arranged(as_points(spark, name, points, given), given).write.insertInto(_quoted(name))
+
+
+def as_points(spark: SparkSession, name: str, points: DataFrame, given: dict[str, str]) -> DataFrame:
+    """``points`` with the collection's columns, but for those of its layout, and their types."""
+    made = layout_columns(given)
+    schema = [f for f in spark.table(_quoted(name)).schema if f.name not in made]
+    unknown = set(points.columns) - {f.name for f in schema}
     if unknown:
         raise ValueError(f"collection {name!r} has no columns {sorted(unknown)}")
     columns = []
-    for f in spark.table(_quoted(name)).schema:
+    for f in schema:
         value = F.col(f"`{f.name}`") if f.name in points.columns else F.lit(None)
         value = value.cast(f.dataType)
         if f.name == given.get("vector", "dense"):
             value = _of_size(value, int(given["dim"]))
         columns.append(value.alias(f.name))
-    _arranged(points.select(*columns), given).write.insertInto(_quoted(name))
+    return points.select(*columns)
 
 
 def describe_collection(spark: SparkSession, name: str) -> DataFrame:
@@ -228,9 +340,13 @@ def restore(spark: SparkSession, name: str) -> None:
 def replace_points(spark: SparkSession, name: str, points: DataFrame) -> None:
     """Saves a new version, which may well be computed from the present one.
 
-    The present table stays until the new one is written in full.
+    The present table stays until the new one is written in full. It holds all changes
+    made so far.
     """
-    _swap(spark, name, points, collection_properties(spark, name))
+    given = collection_properties(spark, name)
+    if "version" in given:
+        given["compacted"] = given["version"]
+    _swap(spark, name, points, given)
 
 
 def typed_field(field: str, kind: str) -> Column:

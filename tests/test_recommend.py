@@ -62,7 +62,24 @@ def test_examples_without_a_vector_do_not_count(spark):
     assert found(recommend.recommend(points, recommend.examples_of(requests))) == {0: [(3, 0.0)]}
 
 
-def test_unknown_positive_label(spark, points):
-    requests = spark.createDataFrame([(0, "missing")], "query_id bigint, positive_label string")
-    with pytest.raises(ValueError, match="no points found with positive label: missing"):
-        recommend.recommend_by_label(points, requests)
+def test_unknown_labels_have_reasons(spark, points):
+    rows = [(0, "missing", "a"), (1, "a", "missing"), (2, "a", None), (3, None, "b"), (4, "missing", "missing")]
+    requests = spark.createDataFrame(rows, "query_id bigint, positive_label string, negative_label string")
+    reasons = {r.query_id: r.reason for r in recommend.label_reasons(points, requests).collect()}
+    assert reasons == {
+        0: "no points found with positive label: missing", 1: "no points found with negative label: missing", 2: None,
+        3: "positive label is missing", 4: "no points found with positive label: missing",
+    }
+    # One request that cannot be answered does not keep others from their hits.
+    assert found(recommend.recommend_by_label(points, requests)).keys() == {1, 2}
+    assert [r.reason for r in recommend.label_reasons(points, requests.drop("negative_label")).filter("query_id = 2").collect()] == [None]
+
+
+def test_a_popular_example(spark):
+    """A point that every request names is hidden from each of them, without a list of requests at the point."""
+    points = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(30)], "id bigint, dense array<double>")
+    requests = spark.createDataFrame([(q, [0, q]) for q in range(1, 25)], "query_id bigint, positive_ids array<bigint>")
+    hits = recommend.recommend(points, recommend.examples_of(requests), 4)
+    got = found(hits)
+    assert all(len(h) == 4 and not {0, q} & {i for i, _ in h} for q, h in got.items()) and len(got) == 24
+    assert {r["rank"] for r in hits.collect()} == {1, 2, 3, 4}

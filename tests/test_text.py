@@ -1,3 +1,4 @@
+import os
 import re
 import string
 
@@ -7,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from nearfield.functions import text as tx
+from nearfield.functions.encode import ModelEncoder, SparseModelEncoder
 
 
 def one(spark, column, **values):
@@ -79,3 +81,55 @@ def test_lookup_and_percent(spark):
         tx.percent(F.lit(1), F.lit(0)).alias("z"),
     ).first()
     assert tuple(row) == ("1", "none", 25.0, None)
+
+
+def _recording(folder):
+    """A model that notes how many texts and bytes each of its calls gets."""
+
+    def load():
+        def model(texts):
+            with open(f"{folder}/{os.getpid()}", "a") as out:
+                out.write(f"{len(texts)} {sum(len(t.encode()) for t in texts)}\n")
+            return [([3, 1, 3], [1.0, len(t), 2.0]) for t in texts]
+
+        return model
+
+    return load
+
+
+def _calls_of(folder):
+    return [tuple(map(int, line.split())) for f in folder.iterdir() for line in f.read_text().splitlines()]
+
+
+def test_models_get_texts_in_batches_of_rows_and_bytes(spark, tmp_path):
+    texts = spark.range(0, 50, 1, 1).select("id", F.when(F.col("id") < 40, F.repeat(F.lit("é"), 10)).when(F.col("id") < 49, F.repeat(F.lit("x"), 1_000)).alias("text"))
+    sparse = SparseModelEncoder(_recording(tmp_path), batch_rows=16, batch_bytes=500).transform(texts, "text")
+    rows = {r.id: r.sparse for r in sparse.collect()}
+    assert (rows[0].indices, rows[0]["values"]) == ([1, 3], [10.0, 3.0])
+    # A null text has no vector.
+    assert rows[49] is None
+    calls = _calls_of(tmp_path)
+    assert sum(n for n, _ in calls) == 50 and all(n <= 16 and (b <= 500 or n == 1) for n, b in calls)
+    dense = ModelEncoder(_recorded_dense(tmp_path / "dense"), normalise=False, batch_rows=7).transform(texts, "text")
+    (tmp_path / "dense").mkdir()
+    assert [r.dense for r in dense.orderBy("id").limit(2).collect()] == [[10.0, 1.0]] * 2
+    assert max(n for n, _ in _calls_of(tmp_path / "dense")) == 7
+
+
+def _recorded_dense(folder):
+    load = _recording(folder)
+
+    def dense():
+        model = load()
+        return lambda texts: [[w[1][1], 1.0] for w in model(texts)]
+
+    return dense
+
+
+def test_a_sparse_model_must_fit_its_texts(spark):
+    text = spark.createDataFrame([("a",), ("b",)], "text string").coalesce(1)
+    for wrong in (lambda: lambda t: [([1], [1.0])], lambda: lambda t: [([1, 2], [1.0])] * len(t), lambda: lambda t: [([-1], [1.0])] * len(t)):
+        with pytest.raises(Exception, match="the model returned|indices must be"):
+            SparseModelEncoder(wrong).transform(text, "text").collect()
+    with pytest.raises(ValueError, match="positive"):
+        SparseModelEncoder(lambda: None, batch_rows=0)
