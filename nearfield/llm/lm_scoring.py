@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return learnt.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class _Places(dict):
+    """Held words' places; -1 for all others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Counts of the most frequent words in their order, and of what each ending's class holds."""
@@ -100,11 +108,19 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From ``word_counts``: at most HELD_WORDS words come to the driver, the end always first."""
+    """From ``word_counts``: at most HELD_WORDS words come to the driver, the end first if it is one of them."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    best = counts.where(F.col("word") != F.lit(bytearray(END))).orderBy(F.desc("n"), "word").limit(HELD_WORDS).collect()
-    end = counts.where(F.col("word") == F.lit(bytearray(END))).collect()
-    rows = end + best
+    # Classes of counts, an eighth of a doubling wide, tell from which count on there are few enough words.
+    level = F.floor(F.log2("n") * 8).cast("int")
+    levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("v")).collect()
+    least, held = None, 0
+    for r in sorted(levels, key=lambda r: -r.level):
+        held += r.v
+        if held > HELD_WORDS:
+            break
+        least = r.level
+    chosen = counts.where(level >= least).collect() if least is not None else []
+    rows = sorted(chosen, key=lambda r: (bytes(r.word) != END, -r.n, bytes(r.word)))
     words, n = [bytes(r.word) for r in rows], np.array([r.n for r in rows], np.int64)
     tail = F.crc32(F.substring("word", -2, 2)) % ENDINGS
     groups = counts.groupBy(tail.cast("int").alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
@@ -130,34 +146,35 @@ def coded(docs: DataFrame, voc: Vocabulary) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         words, counts, top, share, total = packed
-        logs = np.log10(counts + 1.0)
-        base = np.log10((counts + 1) / total).tolist()
-        # Code, base score, log of the share in the class of its ending.
-        known = {w: (i, base[i], 0.0) if i < top else (TOP + (e := ending(w)), base[i], float(logs[i] + share[e])) for i, w in enumerate(words)}
+        ends = np.fromiter(map(ending, words), np.int64, len(words))
+        # For each held word, and last for all others: code, base score, log of its share in its ending's class.
+        code = np.append(np.where(np.arange(len(words)) < top, np.arange(len(words)), TOP + ends), 0).astype(np.uint16)
+        base = np.append(np.log10((counts + 1) / total), -whole)
+        inner = np.append(np.where(np.arange(len(words)) < top, 0, np.log10(counts + 1.0) + share[ends]), 0)
+        places = _Places(zip(words, range(len(words))))
         for batch in batches:
-            for at in range(batch.num_rows):
-                tokens = tokens_of(batch.column(2)[at].as_py())
-                found = [known.get(t) for t in tokens]
-                sure = model = 0.0
-                codes = np.empty(len(tokens), np.uint16)
-                rest: list[bytes] = []
-                for i, (t, f) in enumerate(zip(tokens, found)):
-                    if f is None:
-                        e = ending(t)
-                        codes[i] = TOP + e
-                        sure -= whole
-                        model += share[e]
-                        rest.append(t)
-                    else:
-                        codes[i] = f[0]
-                        sure += f[1]
-                        model += f[2]
-                late = Counter(rest)
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
+                texts = [tokens_of(t.as_py()) for t in part.column(2)]
+                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+                starts = np.cumsum(sizes) - sizes
+                place = np.fromiter(chain.from_iterable(map(places.__getitem__, t) for t in texts), np.int64, int(sizes.sum()))
+                codes, model = code[place], inner[place]
+                late = np.flatnonzero(place < 0)
+                bounds = np.searchsorted(late, np.append(starts, len(place)))
+                rest = [Counter() for _ in texts]
+                for i in np.flatnonzero(np.diff(bounds)).tolist():
+                    at = late[bounds[i] : bounds[i + 1]]
+                    missed = [texts[i][k] for k in (at - starts[i]).tolist()]
+                    tail = np.fromiter(map(ending, missed), np.int64, len(missed))
+                    codes[at], model[at] = TOP + tail, share[tail]
+                    rest[i] = Counter(missed)
+                packed_codes = [codes[a : a + n].tobytes() for a, n in zip(starts.tolist(), sizes.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 1), batch.column(1).slice(at, 1), pa.array([codes.tobytes()], pa.binary()),
-                     pa.array([len(tokens)], pa.int64()), pa.array([len(tokens) - len(rest)], pa.int64()), pa.array([sure], pa.float64()),
-                     pa.array([float(model)], pa.float64()), pa.array([list(late.keys())], pa.list_(pa.binary())),
-                     pa.array([list(late.values())], pa.list_(pa.int32()))],
+                    [part.column(0), part.column(1), pa.array(packed_codes, pa.binary()), pa.array(sizes, pa.int64()),
+                     pa.array(sizes - np.diff(bounds), pa.int64()), pa.array(np.add.reduceat(base[place], starts)),
+                     pa.array(np.add.reduceat(model, starts)), pa.array([list(r.keys()) for r in rest], pa.list_(pa.binary())),
+                     pa.array([list(r.values()) for r in rest], pa.list_(pa.int32()))],
                     names=["doc_id", "held_out", "codes", "n_tokens", "n_known", "sure", "model", "words", "times"],
                 )
 
@@ -286,7 +303,7 @@ def joined_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 # Pieces of each table of weights on their way from the tasks.
-_SLICES = 16
+_SLICES = 64
 
 
 def train(docs: DataFrame, voc: Vocabulary) -> Weights:
