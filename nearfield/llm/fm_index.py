@@ -65,6 +65,7 @@ class FMIndex:
         whole = rank[self.suffixes]
         self.starts = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]])) if n else np.empty(0, np.int64)
         # Suffixes that share one word less than ``depth`` are neighbours too.
+        self.least = np.minimum.reduceat(self.suffixes, self.starts) if n else self.suffixes
         less = depth - 1
         half = max(s for s in ranks if s <= less)
         a, b = ranks[half], np.zeros(n, np.int64)
@@ -92,8 +93,7 @@ class FMIndex:
 
     def earliest(self, low: np.ndarray) -> np.ndarray:
         """First position in the text of the ``depth`` words whose interval starts there."""
-        least = np.minimum.reduceat(self.suffixes, self.starts)
-        return least[np.searchsorted(self.starts, low, side="right") - 1]
+        return self.least[np.searchsorted(self.starts, low, side="right") - 1]
 
     def matches(self, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Streams stretches of the text through the index, from their last word backward.

@@ -135,7 +135,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def accepted(docs: DataFrame, model: CompressionModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores the threshold or more, all columns kept."""
+    """The rows of ``docs`` whose text scores the threshold or more, all columns kept.
+
+    A model that saw fewer than two texts of either label knows nothing against any row: all stay.
+    """
     mean, scale, weights = np.array(model.mean), np.array(model.scale), np.array(model.weights)
     at = docs.columns.index("text")
 
@@ -143,7 +146,7 @@ def accepted(docs: DataFrame, model: CompressionModel, threshold: float = THRESH
         sizes = Sizes(model) if len(weights) else None
         for batch in batches:
             if not sizes or not batch.num_rows:
-                yield batch if threshold <= 0.5 else batch.slice(0, 0)
+                yield batch
                 continue
             x = np.array([sizes.features((t.as_py() or "").encode()) for t in batch.column(at)])
             z = ((x - mean) / scale) @ weights[:-1] + weights[-1]

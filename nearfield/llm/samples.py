@@ -17,8 +17,8 @@ def labelled_sample(
 ) -> tuple[list[tuple[int, bytes, int]], dict[int, int]]:
     """(doc_id, whole text, label) of a bounded sample, and how many labels of each kind there are.
 
-    For each label, 0 and 1, it takes the rows with the least hash of doc_id, at most ``rows``
-    and at most ``octets`` bytes of text together. Rows of the held-out fold, rows without an
+    For each label, 0 and 1, it takes the rows with the least hash of doc_id, at most ``rows``,
+    and of these each that fits into ``octets`` bytes with those taken before. Rows of the held-out fold, rows without an
     id, a text or a label of 0 or 1, and labels of unknown documents take no part.
     """
     usable = F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1) & ~held_out("doc_id")
@@ -34,8 +34,9 @@ def labelled_sample(
     sizes = found.groupBy("doc_id", "y").agg(F.max(F.octet_length("text")).alias("size"), F.xxhash64("doc_id").alias("at"))
     taken, total = [], {0: 0, 1: 0}
     for r in sorted(sizes.collect(), key=lambda r: (r.at, r.doc_id)):
-        total[r.y] += r.size
-        if total[r.y] <= octets:
+        # A text that does not fit is left out; those after it may fit.
+        if total[r.y] + r.size <= octets:
+            total[r.y] += r.size
             taken.append((r.doc_id, r.y))
     # A document that has several rows counts once, with the greatest of its texts.
     kept = F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id bigint, y int"))

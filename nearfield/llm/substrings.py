@@ -12,6 +12,7 @@ batch by batch, and again in the shard.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,9 +111,9 @@ def _anchors(keyed: DataFrame, id_name: str, part_name: str, window: int, anchor
     return keyed.select(id_name, part_name, "text").mapInArrow(run, PLACES)
 
 
-def _cut_stretches(joined: DataFrame, id_name: str, part_name: str, window: int, anchor: int, n_shards: int) -> DataFrame:
+def _cut_stretches(joined: DataFrame, id_name: str, part_name: str, hits_name: str, window: int, anchor: int, n_shards: int) -> DataFrame:
     """The stretches of repeated anchors, without words where the batch has equal ones earlier."""
-    at = {name: joined.columns.index(name) for name in (id_name, part_name, "text", "hits")}
+    at = {name: joined.columns.index(name) for name in (id_name, part_name, "text", hits_name)}
 
     def run(batches: Batches) -> Batches:
         known = WordHashes()
@@ -138,7 +139,7 @@ def _cut_stretches(joined: DataFrame, id_name: str, part_name: str, window: int,
             for first in range(0, batch.num_rows, HELD_TEXTS):
                 few = batch.slice(first, HELD_TEXTS)
                 ids, names = (few.column(at[c]).to_pylist() for c in (id_name, part_name))
-                hits = [{h >> 1: h & 1 for h in hs} for hs in few.column(at["hits"]).to_pylist()]
+                hits = [{h >> 1: h & 1 for h in hs} for hs in few.column(at[hits_name]).to_pylist()]
                 words = [words_of(t.as_py()) for t in few.column(at["text"])]
                 sizes = np.fromiter(map(len, words), np.int64, len(words))
                 text, start, n, hashes = _stretches(np.concatenate([known.of(w) for w in words]), sizes, window, anchor)
@@ -254,6 +255,7 @@ def _without(words: list[bytes], spans: list[dict]) -> list[bytes]:
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", window: int = WINDOW, anchor: int = ANCHOR,
     frequent: int = FREQUENT, shard_stretches: int = SHARD_STRETCHES, words_col: str = "n_words", removed_col: str = "n_removed",
+    *, digest_col: str | None = None,
 ) -> DataFrame:
     """``docs`` without repeated words in ``text``, and how many words it had and lost.
 
@@ -262,57 +264,67 @@ def remove_repeats(
     is joined by single spaces; texts that lose nothing stay as they are, null stays null.
     A null id counts as the least. Rows that repeat an id and text are one text, none
     earlier than the other; texts that share an id are ordered by a hash. An empty table gives
-    no rows. Columns named like the two counts are replaced.
+    no rows. Columns named like the two counts are replaced. With ``digest_col`` the text is
+    left out for the SHA-256 of what is kept, its words joined by single spaces.
     """
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in (words_col.lower(), removed_col.lower())))
+    made = [words_col, removed_col] + ([digest_col] if digest_col else [])
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in {m.lower() for m in made}))
     keyed, id_name, part_name = _keyed(docs, id_col)
     anchors = stored(_anchors(keyed, id_name, part_name, window, anchor))
     counts = anchors.groupBy("anchor").agg(F.sum(F.size("starts")).alias("n")).where("n > 1")
     often = (F.col("n") > frequent).cast("int")
+    # ``docs`` may have columns of any name.
+    its_id, its_part, hits_name, spans_name = (fresh(docs, c) for c in ("its_id", "its_part", "hits", "spans"))
     hits = (
         anchors.join(counts, "anchor")
         .select(F.explode(F.arrays_zip("ids", "parts", "starts")).alias("p"), often.alias("often"))
         .groupBy("p.ids", "p.parts")
         .agg(F.collect_list(F.col("p.starts") * 2 + F.col("often")).alias("hits"))
-        .toDF("its_id", "its_part", "hits")
+        .toDF(its_id, its_part, hits_name)
     )
-    key = (F.col(id_name) == F.col("its_id")) & (F.col(part_name) == F.col("its_part"))
+    key = (F.col(id_name) == F.col(its_id)) & (F.col(part_name) == F.col(its_part))
     n_shards = parts(anchors.count(), shard_stretches)
     # One shuffle of the texts by id serves this join and the last.
-    cut = _cut_stretches(keyed.join(hits, key), id_name, part_name, window, anchor, n_shards)
-    spans = _spans(cut.repartition(n_shards, "shard"), window)
-    listed = spans.groupBy("id", "part").agg(F.collect_list(F.struct("first", "last")).alias("spans")).toDF("its_id", "its_part", "spans")
+    cut = _cut_stretches(keyed.join(hits, key), id_name, part_name, hits_name, window, anchor, n_shards)
+    spans = _spans(cut.repartitionById(n_shards, F.col("shard").cast("int")), window)
+    listed = spans.groupBy("id", "part").agg(F.collect_list(F.struct("first", "last")).alias("spans")).toDF(its_id, its_part, spans_name)
     joined = keyed.join(listed, key, "left")
     names = docs.columns
-    at, text_at = joined.columns.index("spans"), names.index("text")
+    at, text_at = joined.columns.index(spans_name), names.index("text")
+
+    others = [i for i in range(len(names)) if digest_col is None or i != text_at]
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, had, lost = [], [], []
         for text, spans in zip(batch.column(text_at).to_pylist(), batch.column(at).to_pylist()):
             words = words_of(text)
             kept = _without(words, spans) if spans else words
-            texts.append(b" ".join(kept).decode("utf-8", "surrogatepass") if len(kept) < len(words) else text)
+            if digest_col is not None:
+                texts.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            else:
+                texts.append(b" ".join(kept).decode("utf-8", "surrogatepass") if len(kept) < len(words) else text)
             had.append(len(words))
             lost.append(len(words) - len(kept))
-        columns = [pa.array(texts, pa.string()) if i == text_at else batch.column(i) for i in range(len(names))]
-        return pa.RecordBatch.from_arrays(
-            [*columns, pa.array(had, pa.int64()), pa.array(lost, pa.int64())], names=[*names, words_col, removed_col]
-        )
+        columns = [pa.array(texts, pa.string()) if i == text_at else batch.column(i) for i in others]
+        counts = [pa.array(had, pa.int64()), pa.array(lost, pa.int64())]
+        if digest_col is not None:
+            counts.append(pa.array(texts, pa.string()))
+        return pa.RecordBatch.from_arrays([*columns, *counts], names=[*(names[i] for i in others), *made])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(each_batch(keep), f"{kinds}, `{words_col}` bigint, `{removed_col}` bigint")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for i, f in enumerate(docs.schema) if i in others)
+    digest = f", `{digest_col}` string" if digest_col else ""
+    return joined.mapInArrow(each_batch(keep), f"{kinds}`{words_col}` bigint, `{removed_col}` bigint{digest}")
 
 
-def recounted(cut: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of ``cut``, without texts that lost all their words; n_chars, if any, as it is now."""
-    left = cut.where("its_removed = 0 or its_removed < its_words")
-    now = F.when(F.col("its_removed") > 0, F.char_length("text").cast("bigint"))
-    return left.select(*(F.coalesce(now, c).alias(c) if c == "n_chars" else c for c in columns))
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` without repeated words, and without texts that lost all theirs; n_chars, if any, as it is now."""
+    words, removed = fresh(docs, "words"), fresh(docs, "removed")
+    cut = remove_repeats(docs, words_col=words, removed_col=removed)
+    left = cut.where((F.col(removed) == 0) | (F.col(removed) < F.col(words)))
+    now = F.when(F.col(removed) > 0, F.char_length("text").cast("bigint"))
+    return left.select(*(F.coalesce(now, c).alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
 def removed_words(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of the kept words, joined by one space, for each row."""
-    cut = remove_repeats(docs.select("doc_id", "text"))
-    kept = F.array_join(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[ \t-\r]+"), ""), " ")
-    digest = F.sha2(F.encode(kept, "UTF-8"), 256).alias("kept_sha256")
-    return cut.select("doc_id", "n_words", "n_removed", digest)
+    return remove_repeats(docs.select("doc_id", "text"), digest_col="kept_sha256")

@@ -103,13 +103,14 @@ def fit(sample: list[tuple[int, bytes, int]], counts: dict[int, int], seed: int
     """A machine from (doc_id, text, label); rows weigh so that the labels keep their true shares."""
     y = np.array([label for *_, label in sample], np.float32)
     total = counts[0] + counts[1]
-    if not len(y) or y.min() == y.max():
-        share = (counts[1] + 1) / (total + 2)
-        empty = np.empty(0, np.int64)
-        return FactorizationMachine(empty, np.empty(0), np.empty((0, RANK)), float(np.log(share / (1 - share))))
     terms = Terms()
     rows = [np.array(terms.of(text.decode("utf-8", "replace")), np.int64) for _, text, _ in sample]
-    slots = _telling(rows, y, CHOSEN)
+    one_label = not len(y) or y.min() == y.max()
+    slots = np.empty(0, np.int64) if one_label else _telling(rows, y, CHOSEN)
+    if not len(slots):
+        # One label alone, or no term that tells them apart.
+        share = (counts[1] + 1) / (total + 2)
+        return FactorizationMachine(slots, np.empty(0), np.empty((0, RANK)), float(np.log(share / (1 - share))))
     x = np.zeros((len(rows), len(slots)), np.float32)
     for i, found in enumerate(rows):
         x[i, np.isin(slots, found, assume_unique=True)] = 1
@@ -144,7 +145,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
     Null texts score as empty ones. Rows without an id are scored and count as held out;
     repeated rows stay and score alike; other columns are never read. An empty table gives
-    no rows. Without texts of both labels every text scores the labels' mean.
+    no rows. Without texts of both labels, or terms that tell them apart, every text scores the
+    labels' mean.
     """
     machine = train(docs, labels)
 
