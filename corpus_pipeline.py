@@ -15,7 +15,10 @@ from nearfield.llm.queries import mixture
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labelled documents."""
+    """Documents that the quality classifier accepts; it learns from the labelled documents.
+
+    Without labels of both kinds there is no classifier, and all documents stay.
+    """
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality.accepted(docs, model)
 
@@ -27,8 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; n_chars counts what is left."""
-    cut = substrings.remove_repeats(docs, words_col="its_words", removed_col="its_removed")
-    return substrings.recounted(cut, docs.columns)
+    return substrings.without_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
