@@ -52,3 +52,14 @@ def result_labels(results: DataFrame) -> DataFrame:
     whole = F.sum("hits").over(Window.partitionBy("query_id"))
     share = F.round(percent(F.col("hits"), whole), 6).alias("percent")
     return counts.select("query_id", "label", "hits", share).orderBy("query_id", "label")
+
+
+def search_gaps(points: DataFrame, size: int, using: str = "dense") -> DataFrame:
+    """(reason, points): points that no query with vectors of ``size`` can find, counted by the first reason."""
+    vector = F.col(using)
+    reason = (
+        F.when(F.col("id").isNull(), "id is missing")
+        .when(vector.isNull(), "vector is missing")
+        .when(F.size(vector) != size, "vector has another size")
+    )
+    return points.select(reason.alias("reason")).filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("points"))

@@ -29,6 +29,7 @@ from nearfield.operators.topk import (
     Search,
     check_query_sizes,
     point_table,
+    query_blocks,
     query_table,
     rank_hits,
 )
@@ -114,18 +115,12 @@ def approximate_topk(
     else:
         size = max(1, min(block, MAX_SHIPPED_BYTES // (shipped.nbytes // shipped.num_rows + 1)))
         # Queries of neighbouring codes are read together: they probe the same cells.
-        coded = stored(wanted.withColumn("code", hyperplane_code(branch.asked, bits)))
-        facts = coded.agg(F.count("*").alias("n"), F.max("k").alias("k")).first()
-        n_blocks = -(-facts["n"] // size)
-        dealt = coded.repartitionByRange(n_blocks, "code", "query_id").withColumn("block", F.spark_partition_id()).drop("code")
-        blocks = stored(dealt)
-        hits, deepest, most = None, facts["k"], None
-        for b in sorted(r.block for r in blocks.select("block").distinct().collect()):
-            rows = blocks.filter(F.col("block") == b).drop("block").toArrow()
-            # Ranges are cut by a sample: a block that came out larger goes in parts.
-            for first in range(0, rows.num_rows, size):
-                part = stored(_block_hits(points, rows.slice(first, size), branch, bits, probes))
-                hits = part if hits is None else hits.unionByName(part)
+        coded = wanted.withColumn("query_code", hyperplane_code(branch.asked, bits))
+        hits, deepest, most = None, 0, None
+        for rows in query_blocks(coded, size, "query_code", "query_id"):
+            part = stored(_block_hits(points, rows.drop_columns("query_code"), branch, bits, probes))
+            deepest = max([deepest, *(x or 0 for x in rows.column("k").to_pylist())])
+            hits = part if hits is None else hits.unionByName(part)
     ranked = rank_hits(hits, deepest).filter(F.col("rank") <= F.col("k"))
     score = F.col("gain") * F.lit(branch.sign) + F.lit(0.0)
     return ranked.select("query_id", "rank", "id", score.alias("score")), None if most is None else most * deepest

@@ -100,6 +100,14 @@ SQL["dense_topk_batch"] = (
     + ","
     + _ranked(_cosine("p.dense", "q.dense"), k="5")
 )
+SQL["dense_topk_many"] = (
+    _with(
+        POINTS,
+        "q AS (SELECT id * 10 + j AS query_id, list_concat(dense[j + 1:], dense[1:j]) AS dense FROM p, range(10) a(j))",
+    ).rstrip()
+    + ","
+    + _ranked(_cosine("p.dense", "q.dense"), k="5")
+)
 SQL["distances"] = _with(POINTS, CENTRES.strip()) + f"""
 SELECT p.id, round({_cosine("p.dense", "q.dense")}, 6) + 0 AS cosine,
        round({_euclid("p.dense", "q.dense")}, 6) + 0 AS euclid,
@@ -395,6 +403,10 @@ WITH v AS (SELECT vec_id - 10 AS id,
 SELECT id, size, CASE WHEN id < 0 THEN 'id is missing or negative'
                       WHEN size = 0 THEN 'vector is missing or empty'
                       WHEN size <> 20 THEN 'vector has another size' END AS reason FROM v"""
+SQL["search_gaps"] = """
+SELECT CASE WHEN vec_id % 50 = 0 THEN 'id is missing' WHEN vec_id % 11 = 0 THEN 'vector has another size'
+            ELSE 'vector is missing' END AS reason, count(*) AS points
+FROM embeddings WHERE vec_id % 50 = 0 OR vec_id % 11 = 0 OR vec_id % 7 = 0 GROUP BY reason"""
 SQL["row_counts"] = "SELECT count(*) AS rows FROM documents"
 
 

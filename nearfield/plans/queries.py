@@ -99,6 +99,16 @@ def dense_topk_batch(spark, sf):
     return _hits(search.dense_search(points, queries, 5))
 
 
+@query
+def dense_topk_many(spark, sf):
+    """More queries than tasks are sent at once: every point in ten turns of its elements."""
+    points = t.embeddings(spark, sf)
+    turned = points.select("id", "dense", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("turn"))
+    dense = F.expr("concat(slice(dense, turn + 1, 64), slice(dense, 1, turn))")
+    queries = turned.select((F.col("id") * 10 + F.col("turn")).alias("query_id"), dense.alias("dense"))
+    return _hits(search.dense_search(points, queries, 5))
+
+
 @query
 def distances(spark, sf):
     """All distances of every point to the centroid of its label."""
@@ -402,6 +412,16 @@ def point_validation(spark, sf):
     return checked.select("id", F.size("dense").alias("size"), "reason")
 
 
+@query
+def search_gaps(spark, sf):
+    """Points that lost their id, their vector or a part of it, and would be missing from results without a word."""
+    points = t.embeddings(spark, sf).select(
+        F.when(F.col("id") % 50 != 0, F.col("id")).alias("id"),
+        F.when(F.col("id") % 11 == 0, F.slice("dense", 1, 20)).when(F.col("id") % 7 != 0, F.col("dense")).alias("dense"),
+    )
+    return analytics.search_gaps(points, 64)
+
+
 @query
 def row_counts(spark, sf):
     return analytics.row_count(t.table(spark, sf, "documents"))

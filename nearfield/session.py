@@ -5,13 +5,17 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from functools import reduce
+from operator import add
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A table is broadcast only when it was counted and has at most this many rows.
+# A table is broadcast only when it was measured and has at most so many rows and bytes.
 MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def ship_package() -> None:
@@ -27,7 +31,8 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        # Where the master cannot be read the session may well be a cluster's.
+        if not (spark.conf.get("spark.master", None) or "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="nearfield-")
     return "/".join([root.rstrip("/"), "nearfield", *parts, uuid.uuid4().hex])
@@ -43,6 +48,27 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Marks ``df`` for broadcast if a count, stopped at the bound, finds it small."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: strings by their length, lists by that of their elements."""
+
+    def size(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType | T.BinaryType):
+            return F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint")
+        if isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, T.NumericType | T.BooleanType | T.DateType | T.TimestampType):
+                return F.greatest(F.size(value), F.lit(0)).cast("bigint") * 8
+            each = F.aggregate(value, F.lit(0).cast("bigint"), lambda total, x: total + size(x, kind.elementType))
+            return F.coalesce(each, F.lit(0).cast("bigint"))
+        if isinstance(kind, T.MapType):
+            return size(F.map_keys(value), T.ArrayType(kind.keyType)) + size(F.map_values(value), T.ArrayType(kind.valueType))
+        if isinstance(kind, T.StructType):
+            return reduce(add, (size(value[f.name], f.dataType) for f in kind), F.lit(0).cast("bigint"))
+        return F.lit(8).cast("bigint")
+
+    return reduce(add, (size(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16).cast("bigint"))
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Marks ``df`` for broadcast if a look at it, stopped at the bound, finds it small in rows and bytes."""
+    seen = df.limit(max_rows + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if seen["rows"] <= max_rows and seen["bytes"] <= max_bytes else df

@@ -47,14 +47,15 @@ def test_equals_brute_force(points, vectors, distance, parts):
 
 
 @pytest.mark.parametrize("distance", ["Cosine", "Euclid"])
-def test_many_queries_are_joined_in_blocks(points, vectors, distance, monkeypatch):
+def test_many_queries_pass_in_blocks(points, vectors, distance, monkeypatch):
     monkeypatch.setattr(topk, "MAX_SHIPPED_QUERIES", 7)
-    monkeypatch.setattr(topk, "POINT_BLOCK", 9)
+    monkeypatch.setattr(topk, "FLOOR_POINTS", 25)
     queries = points.select(
         F.col("id").alias("query_id"), "dense", F.when(F.col("id") % 2 == 0, F.lit("a")).alias("label")
     )
     results = search.dense_search(points, queries, 4, distance)
-    assert "FlatMapCoGroupsInArrow" in plan(results)
+    # Blocks of hits come from storage; no point is shuffled to meet them.
+    assert "CoGroup" not in plan(results)
     got = found(results)
     labelled = {r.id: r.label for r in points.collect()}
     for i, v in enumerate(vectors):
@@ -213,3 +214,40 @@ def test_places(spark):
     assert {r.id for r in near.collect()} == {1, 2}
     assert {r.id for r in points.filter(p.in_box(F.col("at"), 179, -1, -179.6, 1)).collect()} == {1}
     assert {r.id for r in points.filter(p.must_not(p.in_box(F.col("at"), -1, -1, 1, 1))).collect()} == {1, 2, 4, 5}
+
+
+def test_many_queries_move_no_points(spark, points, vectors, monkeypatch):
+    """Beyond what is shipped at once: blocks of queries pass over the points, with floors from a sample."""
+    monkeypatch.setattr(topk, "MAX_SHIPPED_QUERIES", 16)
+    monkeypatch.setattr(topk, "FLOOR_POINTS", 25)
+    queries = points.select(F.col("id").alias("query_id"), "dense", (F.col("id") % 4 + 1).alias("k"), F.when(F.col("id") % 2 == 0, "a").alias("label"))
+    for distance in ("Cosine", "Euclid", "Dot"):
+        hits, _ = topk.topk(points, queries, topk.Branch(distance=distance), 3)
+        many = sorted(map(tuple, hits.collect()))
+        with monkeypatch.context() as m:
+            m.setattr(topk, "MAX_SHIPPED_QUERIES", 4096)
+            once, _ = topk.topk(points, queries, topk.Branch(distance=distance), 3)
+            assert sorted(map(tuple, once.collect())) == many and many
+    blocks = list(topk.query_blocks(queries, 16, "query_id"))
+    assert sum(b.num_rows for b in blocks) == 40 and max(b.num_rows for b in blocks) <= 16
+
+
+def test_sparse_scores_of_common_and_rare_indices(spark):
+    """Weights of any sign, indices that all, some or one query has, rows that share none."""
+    rng = np.random.default_rng(6)
+
+    def vectors(n, wide):
+        rows = [(i, sorted(rng.choice(wide, rng.integers(0, 12), replace=False).tolist()) + ([900] if i % 3 else [])) for i in range(n)]
+        return [(i, index, rng.normal(size=len(index)).round(3).tolist()) for i, index in rows]
+
+    data, asked = vectors(80, 60), vectors(150, 400)
+    schema = "struct<indices: array<int>, values: array<float>>"
+    table = lambda rows, key: spark.createDataFrame([(i, (x, v)) for i, x, v in rows], f"{key} bigint, sparse {schema}")
+    found = {}
+    for r in search.sparse_search(table(data, "id"), table(asked, "query_id"), 5).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    for q, x, v in asked:
+        want = dict(zip(x, np.float32(v).astype(float)))
+        scored = [(round(sum(want[k] * w for k, w in zip(i, np.float32(ws).astype(float)) if k in want), 6) + 0.0, p) for p, i, ws in data if want.keys() & set(i)]
+        best = sorted(scored, key=lambda s: (-s[0], s[1]))[:5]
+        assert [(n, p) for n, p, _ in sorted(found.get(q, []))] == [(n, p) for n, (_, p) in enumerate(best, 1)], q
