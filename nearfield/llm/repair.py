@@ -66,10 +66,11 @@ def _digest(*columns: str) -> Column:
 def in_order(rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """All rows (conv_id, turn, role, text, times) in order, stored, with their place ``at``.
 
-    By conv_id and turn, nulls first; equal turns by role, then the first 64 characters of
-    the text, then its hash. ``times`` copies follow each other, with an empty text from the
-    second on; equal rows are first counted, so that however many there are they are dealt
-    over many ranges. ``at`` counts upwards without gaps.
+    By conv_id and turn, nulls first, then by role and text; where so many rows agree in all
+    but what follows the first 64 characters that ranges part them, by their hash before
+    the rest. ``times`` copies follow each other, with an empty text from the second on; equal
+    rows are first counted, so that however many there are they are dealt over many ranges.
+    ``at`` counts upwards without gaps.
     """
     counted = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("times").alias("times"))
     each = counted.select("*", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"), _digest("conv_id", "role", "text").alias("digest"))
@@ -80,7 +81,8 @@ def in_order(rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     size = parts(rows.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0], part_rows)
     solid = F.regexp_replace("text", r"[\x20\x09-\x0D]+$", "")
     fault = F.when(~F.col("text").rlike(_BLANK), "b").when(~F.right(solid, F.lit(1)).isin(".", "!", "?"), "t").otherwise("-")
-    sorted_rows = each.withColumn("fault", fault).repartitionByRange(size, *order).sortWithinPartitions(*order)
+    sorted_rows = each.withColumn("fault", fault).repartitionByRange(size, *order)
+    sorted_rows = sorted_rows.sortWithinPartitions("conv_id", "turn", "role", "text", "nth")
     made = stored(sorted_rows.select("conv_id", "turn", "role", text.alias("text"), "digest", "nth", "fault", F.monotonically_increasing_id().alias("id")))
     part = F.shiftright("id", 33)
     sizes = sorted((r.part, r.n) for r in made.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
