@@ -47,6 +47,10 @@ BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"se
 SCOPE = frozenset("article body html main section div table td th li blockquote form nav aside header footer".split())
 _WORD = re.compile(r"[a-z0-9]+")
 LINK_LIST = 0.66
+# What a head may hold; anything else ends it.
+IN_HEAD = frozenset("head title meta link base style script noscript template".split())
+# Marks decide unless they would leave less than this share of a page's unlinked text.
+LEAST_LEFT = 0.25
 
 
 class Node:
@@ -81,6 +85,7 @@ class _Tree(HTMLParser):
         self.open = [self.root]
         self.nodes = [self.root]
         self.marked: list[Node] = []
+        self.forms: list[Node] = []
 
     def _close(self, tags: set[str], bounds: frozenset[str] | set[str]) -> None:
         for k in range(len(self.open) - 1, 0, -1):
@@ -91,6 +96,8 @@ class _Tree(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            self._close({"head"}, frozenset())
         if tag in BLOCKS:
             self._close({"p"}, SCOPE)
         if tag in ENDS:
@@ -104,6 +111,8 @@ class _Tree(HTMLParser):
             while at is not None and not at.holds:
                 at.holds = True
                 at = at.parent
+        elif tag == "form":
+            self.forms.append(node)
         elif not node.dropped and tag not in ("html", "body") and (tag == "header" or _marked(tag, attrs)):
             self.marked.append(node)
         self.open[-1].parts.append(node)
@@ -119,6 +128,8 @@ class _Tree(HTMLParser):
             self._close({tag}, frozenset() if tag in BLOCKS else BLOCKS - {"p"})
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1].tag == "head" and data.strip():
+            self._close({"head"}, frozenset())
         self.open[-1].parts.append(data)
 
 
@@ -126,14 +137,40 @@ def _parsed(html: str) -> _Tree:
     tree = _Tree()
     tree.feed(html)
     tree.close()
-    for node in tree.marked:
-        # An article that lies in or is a marked element is the page's text all the same.
+    for node in (*tree.marked, *tree.forms):
+        # An article that lies in or is a marked element or a form is the page's text all the same.
         node.dropped = not node.holds
+    _measure(tree.nodes)
+    if any(n.tag in ("article", "main") for n in tree.nodes):
+        return tree
+    # Without an article one word in a class must not cost a page its text.
+    left = _free(tree.root)
+    hidden = [n for n in tree.marked if n.dropped]
+    for node in hidden:
+        node.dropped = False
+    _measure(tree.nodes)
+    free = {id(n): _free(n) for n in hidden}
+    keep: set[int] = set()
+    if hidden and left < LEAST_LEFT * _free(tree.root):
+        # The one with most text stays, of equal ones the innermost, and all around it.
+        at: Node | None = max(reversed(hidden), key=lambda n: free[id(n)])
+        while at is not None:
+            keep.add(id(at))
+            at = at.parent
+    for node in hidden:
+        node.dropped = id(node) not in keep
     return tree
 
 
+def _free(node: Node) -> int:
+    """Characters outside links."""
+    return node.chars - node.link_chars
+
+
 def _measure(nodes: list[Node]) -> None:
     """Counts of each node, parents after children; dropped subtrees count nothing."""
+    for node in nodes:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
     for node in reversed(nodes):
         if node.dropped:
             node.chars = node.tags = node.link_chars = node.link_tags = 0
@@ -159,8 +196,8 @@ def _density(node: Node, body: Node) -> float:
     return chars / tags * math.log(1 + chars / linked * tags / links) / math.log(1 + base)
 
 
-def _blocks(node: Node, inside: set[int], path: set[int], threshold: float) -> list[str]:
-    """Texts of the blocks below ``node``, in page order."""
+def _blocks(node: Node, inside: set[int], path: set[int], threshold: float, links: bool) -> list[str]:
+    """Texts of the blocks below ``node``, in page order; ``links`` keeps lists of links."""
     found: list[str] = []
     line: list[str] = []
 
@@ -182,7 +219,8 @@ def _blocks(node: Node, inside: set[int], path: set[int], threshold: float) -> l
             whole = whole or id(part) in inside
             if not whole and id(part) not in path and part.density < threshold and part.tag not in HEADINGS:
                 continue
-            if part.tag in ("ul", "ol", "table", "div", "section") and part.chars and part.link_chars > LINK_LIST * part.chars:
+            listed = part.tag in ("ul", "ol", "table", "div", "section") and part.chars and part.link_chars > LINK_LIST * part.chars
+            if listed and not links:
                 continue
             block = part.tag in BLOCKS
             if block:
@@ -233,7 +271,7 @@ def main_text(html: str | None) -> str:
         up = up.parent
     # An article or main element around the subtree bounds the text and belongs to it whole.
     whole = best if top is body else top
-    return "\n".join(_blocks(top, {id(whole)}, path, threshold))
+    return "\n".join(_blocks(top, {id(whole)}, path, threshold, links=top is not body))
 
 
 def _live(nodes: list[Node], body: Node) -> list[Node]:

@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from nearfield.llm.html_text import extract_main_text, main_text, page_texts
 
 import html as html_lib
@@ -49,3 +51,35 @@ def test_pages_of_the_tables(small):
         article = re.search(r"<article>(.*?)</article>", page, re.S)[1]
         blocks = [html_lib.unescape(re.sub(r"<[^>]*>", " ", b)) for b in re.split(r"</?(?:h1|p)>", article)]
         assert main_text(page) == "\n".join(t for t in (" ".join(b.split()) for b in blocks) if t)
+
+
+PROSE = [f"Paragraph {i} of the text says at some length what it has to say, and then it ends." for i in range(6)]
+BODY = "".join(f"<p>{p}</p>" for p in PROSE)
+MENU = "<ul>" + "".join(f"<li><a href='/{i}'>Menu entry {i}</a></li>" for i in range(8)) + "</ul>"
+
+
+def page(body, head="<head><title>T</title></head>"):
+    return f"<html>{head}<body>{body}</body></html>"
+
+
+@pytest.mark.parametrize(
+    "html, extra",
+    [
+        # A list of linked sources inside an article belongs to it.
+        (page(f"<nav>{MENU}</nav><article>{BODY}<ul><li><a href='/a'>Source one</a></li><li><a href='/b'>Source two</a></li></ul></article>"), ["Source one", "Source two"]),
+        # A form around the whole page, as some servers make.
+        (page(f"<form action='/'>{MENU}<h1>Title</h1>{BODY}<input name='x'></form>"), ["Title"]),
+        # A head that is never closed, and no body.
+        (f"<html><head><title>T</title><meta charset='utf-8'><h1>Title</h1>{BODY}", ["Title"]),
+        # One word of a class is not enough to lose the text.
+        (page(f"<div class='nav'>{MENU}</div><div class='post-share-wrapper content'>{BODY}</div>"), []),
+        (page(f"<div class='nav'>{MENU}</div><div class='news-alert'><div>{BODY}</div></div><div class='footer'>Imprint</div>"), []),
+        # Neither article nor main: what is marked goes where enough is left.
+        (page(f"<div id='menu'>{MENU}</div><div class='text'>{BODY}</div><div class='comments'><p>First! Great read.</p></div>"), []),
+        (page(f"{MENU}<div><div>{BODY}</div></div><div class='sidebar'><p>Most read this week, and more of it.</p></div>"), []),
+    ],
+)
+def test_pages_without_article_and_odd_wrappers(html, extra):
+    lines = main_text(html).split("\n")
+    assert [x for x in lines if x in PROSE] == PROSE
+    assert set(lines) - set(PROSE) == set(extra)
