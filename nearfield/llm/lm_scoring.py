@@ -1,12 +1,12 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
 The probability of a token is that of its class after the tokens before it, times that of
-the token in its class. The most frequent words make up classes of MEMBERS words each, in
-order of frequency; every other word, seen or not, belongs to the class of its ending. Both
-softmaxes add up one row of weights for each feature: the token before, the pair before
-(hashed), and the tokens two and three places back (skips). Words of an ending's class have
-their add-one share of it, so the probabilities of all words and of one unknown word for
-each ending add up to 1.
+the token in its class; the class is drawn in two steps, first a group of GROUP classes. The
+most frequent words make up classes of MEMBERS words each, in order of frequency; every
+other word, seen or not, belongs to the class of its ending. Each softmax adds up one row
+of weights for each feature: the token before, the pair before (hashed), and the tokens two
+and three places back (skips). Words of an ending's class have their add-one share of it,
+so the probabilities of all words and of one unknown word for each ending add up to 1.
 
 Training takes every document outside the held-out fold, once, in ROUNDS rounds: in each
 one tasks run AdaGrad over their share of the round from the same weights, and what they
@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import WORD_CACHE, Batches, held_out, parts, stored
 
-# Words with a code of their own, words in one class of theirs, classes by ending.
-TOP, MEMBERS, ENDINGS = 1_024, 32, 32
-# Rows of weights for hashed pairs, and for features within a class.
-PAIRS, WITHIN = 1 << 14, 1 << 15
+# Words with a code of their own, words in one class of theirs, classes by ending, classes of a group.
+TOP, MEMBERS, ENDINGS, GROUP = 1_024, 32, 32, 8
+CLASSES = TOP // MEMBERS + ENDINGS
+# Binary digits of the rows of weights: hashed pairs, features within a group, and within a class.
+PAIR_BITS, GROUP_BITS, CLASS_BITS = 14, 16, 15
 ROUNDS = 4
 RATE = 0.5
 # Tokens of a training step, and of a task's share of a round.
@@ -184,25 +185,37 @@ def coded(docs: DataFrame, voc: Vocabulary) -> DataFrame:
 
 
 class Weights:
-    """Rows of both softmaxes, and how far each has been moved."""
+    """Rows of the three softmaxes (group, class, word), biases, and how far each row was moved."""
 
     def __init__(self, voc: Vocabulary) -> None:
-        self.first = np.zeros((3 * (TOP + ENDINGS + 1) + PAIRS, TOP // MEMBERS + ENDINGS), np.float32)
-        self.second = np.zeros((WITHIN, MEMBERS), np.float32)
-        self.moved_first, self.moved_second = np.zeros(len(self.first), np.float32), np.zeros(len(self.second), np.float32)
+        rows = (3 * (TOP + ENDINGS + 1) + (1 << PAIR_BITS), 1 << GROUP_BITS, 1 << CLASS_BITS)
+        self.tables = [np.zeros((n, wide), np.float32) for n, wide in zip(rows, (CLASSES // GROUP, GROUP, MEMBERS))]
+        self.moved = [np.zeros(n, np.float32) for n in rows]
         counts = np.zeros(TOP)
         counts[: voc.top] = voc.counts[: voc.top]
-        members = counts.reshape(-1, MEMBERS)
-        real = np.arange(TOP).reshape(-1, MEMBERS) < voc.top
-        mass = np.r_[members.sum(axis=1), voc.ending_tokens + 1.0]
-        with np.errstate(divide="ignore"):
-            self.class_bias = np.where(mass > 0, np.log(np.maximum(mass, 1e-9)), -np.inf).astype(np.float32)
-            self.word_bias = np.where(real, np.log(np.maximum(members, 1e-9)), -np.inf).astype(np.float32)
-        # A class without words keeps finite biases; nothing ever asks for it.
-        self.word_bias[~real.any(axis=1)] = 0
+        words = counts.reshape(-1, MEMBERS)
+        classes = np.r_[words.sum(axis=1), voc.ending_tokens + 1.0].reshape(-1, GROUP)
+        masses = (classes.sum(axis=1)[None, :], classes, words)
+        real = (None, None, np.arange(TOP).reshape(-1, MEMBERS) < voc.top)
+        self.biases = [_log_shares(m, r) for m, r in zip(masses, real)]
 
-    def learnt(self) -> tuple[np.ndarray, ...]:
-        return self.first, self.second, self.moved_first, self.moved_second
+    def learnt(self) -> list[np.ndarray]:
+        return [*self.tables, *self.moved]
+
+    def copy(self) -> Weights:
+        other = Weights.__new__(Weights)
+        other.biases = self.biases
+        other.tables, other.moved = [t.copy() for t in self.tables], [m.copy() for m in self.moved]
+        return other
+
+
+def _log_shares(mass: np.ndarray, real: np.ndarray | None) -> np.ndarray:
+    """Logarithms of counts by row; what cannot occur has none, but where a whole row cannot."""
+    real = mass > 0 if real is None else real
+    with np.errstate(divide="ignore"):
+        logs = np.where(real, np.log(np.maximum(mass, 1e-9)), -np.inf)
+    logs[~real.any(axis=1)] = 0
+    return logs.astype(np.float32)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -227,34 +240,48 @@ def histories(codes: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
 def features(before: np.ndarray) -> np.ndarray:
     """Rows of ``first`` for each token: the token before, skips of two and three, the pair before."""
     wide = TOP + ENDINGS + 1
-    pair = ((before[0] * wide + before[1]).astype(np.uint64) * _SPREAD >> np.uint64(64 - 14)).astype(np.int64)
+    pair = ((before[0] * wide + before[1]).astype(np.uint64) * _SPREAD >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
     return np.stack([before[0], wide + before[1], 2 * wide + before[2], 3 * wide + pair])
 
 
-def within(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Rows of ``second`` for features of tokens in a class."""
-    key = (rows * (TOP // MEMBERS) + group).astype(np.uint64)
-    return (key * _SPREAD >> np.uint64(64 - 15)).astype(np.int64)
+@dataclass(frozen=True)
+class Choice:
+    """One step on the way to tokens: which tokens take it, its rows of weights, where from, what is chosen."""
+
+    tokens: np.ndarray | slice
+    rows: np.ndarray
+    node: np.ndarray
+    chosen: np.ndarray
 
 
-def _probabilities(w: Weights, rows: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class probabilities, each token's class, tokens that have a code of their own, and the same within their classes."""
-    z = w.first.take(rows[0], axis=0)
-    for r in rows[1:]:
-        z += w.first.take(r, axis=0)
-    z += w.class_bias
-    group = np.where(codes < TOP, codes // MEMBERS, codes - TOP + TOP // MEMBERS)
+def choices(rows: np.ndarray, codes: np.ndarray) -> list[Choice]:
+    """The steps by which tokens with these features are reached: group, class, word."""
+    klass = np.where(codes < TOP, codes // MEMBERS, codes - TOP + TOP // MEMBERS)
+    group = klass // GROUP
     own = np.flatnonzero(codes < TOP)
-    inner = within(rows[:, own], group[own])
-    y = w.second.take(inner[0], axis=0)
-    for r in inner[1:]:
-        y += w.second.take(r, axis=0)
-    y += w.word_bias[group[own]]
-    return _softmax(z), group, own, _softmax(y), inner
+
+    def hashed(features_at: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+        key = (features_at * CLASSES + node).astype(np.uint64)
+        return (key * _SPREAD >> np.uint64(64 - bits)).astype(np.int64)
+
+    return [
+        Choice(slice(None), rows, np.zeros(len(codes), np.int64), group),
+        Choice(slice(None), hashed(rows, group, GROUP_BITS), group, klass % GROUP),
+        Choice(own, hashed(rows[:, own], klass[own], CLASS_BITS), klass[own], codes[own] % MEMBERS),
+    ]
+
+
+def _probabilities(table: np.ndarray, bias: np.ndarray, step: Choice) -> np.ndarray:
+    z = table.take(step.rows[0], axis=0)
+    for r in step.rows[1:]:
+        z += table.take(r, axis=0)
+    z += bias.take(step.node, axis=0)
+    return _softmax(z)
 
 
 def _move(table: np.ndarray, moved: np.ndarray, rows: np.ndarray, slopes: np.ndarray) -> None:
     """One AdaGrad step; a row's rate falls with the squares of its summed slopes."""
+    # No table has more rows than 16 bits number, and those sort fastest.
     for r in rows.astype(np.uint16):
         order = np.argsort(r, kind="stable")
         placed = r[order]
@@ -272,26 +299,25 @@ def learn(w: Weights, codes: np.ndarray, starts: np.ndarray, start: int) -> None
     rows = features(histories(codes, starts, start))
     codes = codes.astype(np.int64)
     for at in range(0, len(codes), STEP_TOKENS):
-        r, c = rows[:, at : at + STEP_TOKENS], codes[at : at + STEP_TOKENS]
-        p, group, own, q, inner = _probabilities(w, r, c)
-        p[np.arange(len(c)), group] -= 1
-        _move(w.first, w.moved_first, r, p)
-        if len(own):
-            q[np.arange(len(own)), c[own] % MEMBERS] -= 1
-            _move(w.second, w.moved_second, inner, q)
+        steps = choices(rows[:, at : at + STEP_TOKENS], codes[at : at + STEP_TOKENS])
+        for table, moved, bias, step in zip(w.tables, w.moved, w.biases, steps):
+            if len(step.chosen):
+                p = _probabilities(table, bias, step)
+                p[np.arange(len(p)), step.chosen] -= 1
+                _move(table, moved, step.rows, p)
 
 
 def log_scores(w: Weights, codes: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
     """log10 of what the weights give each token: its class, and the word where it has a code of its own."""
     rows = features(histories(codes, starts, start))
     codes = codes.astype(np.int64)
-    out = np.empty(len(codes))
+    out = np.zeros(len(codes))
     for at in range(0, len(codes), STEP_TOKENS):
-        c = codes[at : at + STEP_TOKENS]
-        p, group, own, q, _ = _probabilities(w, rows[:, at : at + STEP_TOKENS], c)
-        got = np.log10(np.maximum(p[np.arange(len(c)), group].astype(float), 1e-30))
-        got[own] += np.log10(np.maximum(q[np.arange(len(own)), c[own] % MEMBERS].astype(float), 1e-30))
-        out[at : at + len(c)] = got
+        part = out[at : at + STEP_TOKENS]
+        for table, bias, step in zip(w.tables, w.biases, choices(rows[:, at : at + STEP_TOKENS], codes[at : at + STEP_TOKENS])):
+            if len(step.chosen):
+                p = _probabilities(table, bias, step)[np.arange(len(step.chosen)), step.chosen]
+                part[step.tokens] += np.log10(np.maximum(p.astype(float), 1e-30))
     return out
 
 
@@ -319,8 +345,7 @@ def train(docs: DataFrame, voc: Vocabulary) -> Weights:
         shared = spark.sparkContext.broadcast(w)
 
         def run(batches: Batches) -> Batches:
-            mine = Weights.__new__(Weights)
-            mine.__dict__.update({n: v.copy() for n, v in shared.value.__dict__.items()})
+            mine = shared.value.copy()
             seen = 0
             for batch in batches:
                 for at in range(0, batch.num_rows, 64):
