@@ -37,7 +37,7 @@ def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "5"))
-    budget = float(os.environ.get("BENCH_SECONDS", "400"))
+    budget = float(os.environ.get("BENCH_SECONDS", "700"))
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("nearfield-bench")
