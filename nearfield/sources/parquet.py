@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from nearfield.functions.text import normalise_label, strip
 from nearfield.operators.mutate import merged
 from nearfield.schema import Scenario
-from nearfield.session import broadcast_if_small
 
 # Fixed value: the column tried when the asked text column is missing.
 FALLBACK_TEXT = "sentence"
@@ -45,7 +44,8 @@ def with_row_ids(df: DataFrame, start_id: int = 0) -> DataFrame:
     """
     file = F.xxhash64(F.col("_metadata.file_path")).alias("file")
     sizes = df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))
-    # One row per file: no more than the driver lists when it plans the scan.
+    # One row of two numbers per file: no more than the driver lists when it plans the scan,
+    # so it is broadcast however many rows there are.
     before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         F.xxhash64("path").alias("file"),
@@ -54,7 +54,7 @@ def with_row_ids(df: DataFrame, start_id: int = 0) -> DataFrame:
     placed = df.select("*", file, F.col("_metadata.row_index").alias("place"))
     number = F.col("offset") + F.col("place") + F.lit(start_id)
     return (
-        placed.join(broadcast_if_small(offsets), "file")
+        placed.join(F.broadcast(offsets), "file")
         .withColumn("id", number.cast("bigint"))
         .select("id", *df.columns)
     )
