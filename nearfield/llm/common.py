@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -86,6 +87,14 @@ def gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     return mixed(total)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are kept for later tasks, what they freed need not be."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def each_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Batches], Batches]:
     """``make`` over the rows of a task, so many at a time; None gives no rows."""
 
@@ -95,8 +104,7 @@ def each_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Calla
                 made = make(batch.slice(first, HELD_ROWS))
                 if made is not None and made.num_rows:
                     yield made
-        # Workers are kept for later tasks; what Arrow freed is not.
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import Batches, held_out
+from nearfield.llm.common import Batches, each_batch, held_out
 from nearfield.llm.samples import labelled_sample
 
 DICTIONARY_BYTES = 64_000
@@ -144,12 +144,14 @@ def accepted(docs: DataFrame, model: CompressionModel, threshold: float = THRESH
 
     def run(batches: Batches) -> Batches:
         sizes = Sizes(model) if len(weights) else None
-        for batch in batches:
-            if not sizes or not batch.num_rows:
-                yield batch
-                continue
+
+        def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+            if not sizes:
+                return batch
             x = np.array([sizes.features((t.as_py() or "").encode()) for t in batch.column(at)])
             z = ((x - mean) / scale) @ weights[:-1] + weights[-1]
-            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) >= threshold))
+            return batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) >= threshold))
+
+        return each_batch(keep)(batches)
 
     return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import Batches, each_batch, fresh, mixed, stored
+from nearfield.llm.common import Batches, each_batch, fresh, give_back, mixed, stored
 from nearfield.llm.simhash import BLOCK, STRIP, TILE_ROWS, _roots, components, fingerprint, shingle_hashes
 from nearfield.session import broadcast_if_small
 
@@ -187,7 +187,7 @@ def _verified(groups: DataFrame, docs: DataFrame) -> DataFrame:
                 found = _linked(ids, _roots(np.arange(len(ids)), a, b + shift))
                 if found is not None:
                     yield found
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return _tile_pairs(blocks, pairs, ["group", "part"], "m").mapInArrow(compare, "u bigint, v bigint")
 

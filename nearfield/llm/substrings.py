@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import Batches, WordHashes, each_batch, fresh, gram_hashes, parts, stored, words_of
+from nearfield.llm.common import Batches, WordHashes, each_batch, fresh, give_back, gram_hashes, parts, stored, words_of
 from nearfield.llm.fm_index import FMIndex
 
 WINDOW = 20
@@ -155,6 +155,7 @@ def _cut_stretches(joined: DataFrame, id_name: str, part_name: str, hits_name: s
             rows.extend(least.values())
             if rows:
                 yield _bundled(rows, n_shards)
+        give_back()
 
     return joined.mapInArrow(run, BUNDLES)
 
@@ -239,6 +240,8 @@ def _spans(dealt: DataFrame, window: int) -> DataFrame:
             spans.extend(_shard_spans([(place, words) for words, place in least.items()], window))
         if spans:
             yield flushed()
+        least.clear()
+        give_back()
 
     return dealt.mapInArrow(run, SPANS)
 
