@@ -22,6 +22,7 @@ from nearfield.llm.common import WORD, fresh, stored
 from nearfield.session import broadcast_if_small
 
 Weights = Mapping[str, Mapping[str, int]]
+_WIDE = "decimal(38,0)"
 
 
 def token_count(text: str | Column) -> Column:
@@ -42,17 +43,19 @@ def _weight(level: str, weights: Weights) -> Column:
 def _shared(nodes: DataFrame, parents: Sequence[str], level: str) -> DataFrame:
     """``nodes`` (cap, weight, budget of the parent) with their own budget in place of it."""
     family = Window.partitionBy(*(parents or [F.lit(0)]))
-    ratio = F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(F.lit(float("inf")))
-    order = family.orderBy(ratio, level)
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    fits = F.col("cap") * rest <= (F.col("budget") - before) * F.col("weight")
+    # Products of weights and tokens pass 64 bits at some 10^13 tokens.
+    cap, weight, budget = (F.col(c).cast(_WIDE) for c in ("cap", "weight", "budget"))
+    ratio = F.when(F.col("weight") > 0, F.col("cap").cast("decimal(19,0)") / F.col("weight").cast("decimal(18,0)"))
+    order = family.orderBy(ratio.asc_nulls_last(), level)
+    before = F.coalesce(F.sum(cap).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast(_WIDE)
+    rest = F.sum(weight).over(order.rowsBetween(0, Window.unboundedFollowing)).cast(_WIDE)
+    fits = cap * rest <= (budget - before).cast(_WIDE) * weight
     full = (F.col("cap") == 0) | (F.col("weight") > 0) & fits
     marked = nodes.withColumn("full", full)
-    taken = F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(family)
-    open_weight = F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(family)
-    summed = marked.withColumn("taken", taken).withColumn("open_weight", open_weight)
-    part = F.expr("(budget - taken) * weight div open_weight")
+    taken = F.sum(F.when(F.col("full"), cap).otherwise(0)).over(family)
+    open_weight = F.sum(F.when(F.col("full"), 0).otherwise(weight)).over(family)
+    summed = marked.withColumn("taken", taken.cast(_WIDE)).withColumn("open_weight", open_weight.cast(_WIDE))
+    part = F.expr(f"cast(cast(budget - taken as {_WIDE}) * cast(weight as {_WIDE}) as {_WIDE}) div open_weight")
     own = F.when(F.col("full"), F.col("cap")).when(F.col("open_weight") == 0, 0).otherwise(part)
     return summed.withColumn("budget", own.cast("bigint")).drop("full", "taken", "open_weight")
 
@@ -60,7 +63,7 @@ def _shared(nodes: DataFrame, parents: Sequence[str], level: str) -> DataFrame:
 def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Weights, budget: int, max_epochs: int) -> DataFrame:
     """``leaves`` (levels, tokens, docs) with the budget of each: top down, a level at a time.
 
-    Levels have strings, never null. One family of children is ordered in a task; the tree
+    Levels have strings, never null; weights are below 10^18. One family of children is ordered in a task; the tree
     has a row for each leaf, not for each document.
     """
     caps = leaves.withColumn("cap", F.col("tokens") * max_epochs)
@@ -129,7 +132,9 @@ def mix(
             F.min("bucket").alias("last_bucket"), F.min(F.struct("bucket", F.col("sum") - F.col("n")))["col2"].alias("before")
         )
     )
-    inside = placed.join(broadcast_if_small(ends), keys).where(F.col("bucket") == F.col("last_bucket"))
+    last = placed.join(broadcast_if_small(ends), keys).where(F.col("bucket") == F.col("last_bucket"))
+    # Rows of one place, such as all without an id, are one before they are ordered.
+    inside = last.groupBy(*keys, "place", "before", "left").agg(F.sum("tokens").alias("tokens"))
     running = F.sum("tokens").over(Window.partitionBy(*keys).orderBy("place"))
     fits = inside.withColumn("sum", F.col("before") + running).where(F.col("sum") <= F.col("left"))
     cuts = fits.groupBy(*keys).agg(F.max("place").alias("last_place"))

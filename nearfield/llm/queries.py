@@ -38,7 +38,10 @@ def op1_simhash_near_dedup(spark, sf):
 
 
 def with_domain(docs: DataFrame) -> DataFrame:
-    """Five sources each, by their number, make a domain; others are domain ``other``."""
+    """Five sources each, by their number, make a domain; others are domain ``other``.
+
+    A column named domain is replaced.
+    """
     group = F.expr("try_cast(regexp_extract(source, '^src([0-9]+)$', 1) as int) div 5")
     names = F.array(*(F.lit(d) for d in WEIGHTS["domain"]))
     return docs.withColumn("domain", F.coalesce(F.get(names, group.cast("int")), F.lit("other")))

@@ -69,6 +69,41 @@ def test_random_trees(spark, share, epochs, seed):
     assert {r.n: r.epochs for r in found.collect()} == plain(rows, weights, share, epochs, seed)
 
 
+@pytest.mark.parametrize("share", [0.1, 0.37, 0.8, 1.0])
+def test_budgets_beyond_64_bits(spark, share):
+    rng = random.Random(7)
+    leaves = {("a", f"l{i}"): rng.choice([1, 3, 5]) * 10**13 + rng.randrange(1000) for i in range(6)}
+    leaves |= {("b", f"l{i}"): rng.choice([10**6, 2 * 10**13]) for i in range(4)}
+    weights = {"top": {"a": 10**6, "b": 999_999}, "leaf": {"l0": 10**17, "l1": 10**17 - 1, "l2": 3, "l3": 0, "*": 10**9 + 7}}
+    budget = int(sum(leaves.values()) * share)
+    frame = spark.createDataFrame([(*p, n) for p, n in leaves.items()], "top string, leaf string, tokens bigint")
+    found = {(r.top, r.leaf): r.budget for r in mixing.leaf_budgets(frame, ["top", "leaf"], weights, budget, 2).collect()}
+    tops = fill({t: sum(2 * n for p, n in leaves.items() if p[0] == t) for t in "ab"}, weights["top"], budget)
+    expected = {}
+    for t in "ab":
+        caps = {p: 2 * n for p, n in leaves.items() if p[0] == t}
+        expected |= fill(caps, {p: weights["leaf"].get(p[1], weights["leaf"]["*"]) for p in caps}, tops[t])
+    assert found == expected
+
+
+def test_rows_without_id_lie_at_one_place(spark):
+    """All rows of a place are taken or left together, as one row of the order."""
+    frame = spark.createDataFrame([(None, "s", "a b c")] * 500 + [(i, "s", "a b c") for i in range(500)], "doc_id bigint, source string, text string")
+    for share in (0.2, 0.7, 1.0):
+        found = mixing.mix(frame, ["source"], {}, share, 1).collect()
+        hidden = sum(r.doc_id is None for r in found)
+        assert hidden in (0, 500) and len(found) <= 1000 * share
+        rows = [(r.doc_id, ("s",), 3) for r in frame.collect()]
+        place = {i: hashlib.md5(f"1:0:{'null' if i is None else i}".encode()).hexdigest() for i, *_ in rows}
+        order, room, taken = sorted(place, key=place.get), int(3000 * share), set()
+        for i in order:
+            room -= 3 * (500 if i is None else 1)
+            if room < 0:
+                break
+            taken.add(i)
+        assert {r.doc_id for r in found} == (taken if share < 1 else set(place))
+
+
 def test_empty_and_plan(spark, small):
     docs = with_domain(table(spark, small[1], "documents"))
     assert mixing.mix(docs.limit(0), LEVELS, WEIGHTS).count() == 0
@@ -87,4 +122,5 @@ def test_queries_equal_their_sql(spark, small, name):
 
 def test_domains(spark):
     rows = spark.createDataFrame([("src0",), ("src19",), ("src20",), ("x",), (None,), ("src99999999999",)], "source string")
+    assert with_domain(rows.withColumn("Domain", rows.source)).columns == ["source", "domain"]
     assert [r.domain for r in with_domain(rows).collect()] == ["web", "news", "other", "other", "other", "other"]
