@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import WORD_CACHE, Batches, fresh, gram_hashes, stored
+from nearfield.llm.common import WORD_CACHE, Batches, each_batch, fresh, gram_hashes, stored
 from nearfield.session import broadcast_if_small
 
 WINDOW = 8
@@ -259,7 +259,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, wi
 
         def run(batches: Batches, sent=sent) -> Batches:
             block, tokens = Items(sent.value, window), Tokens()
-            for batch in batches:
+
+            def find(batch: pa.RecordBatch) -> pa.RecordBatch:
                 ids = batch.column(0).to_pylist()
                 code, kind, numbers, sizes = tokens.of(batch.column(1).to_pylist())
                 text = np.repeat(np.arange(len(sizes)), sizes)
@@ -290,8 +291,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, wi
                         if row >= n:
                             n, m, changed = row, total, False
                     rows.append((ids[t], block.ids[item], n, m, n / m, changed))
-                if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip([c.split()[0] for c in FOUND.split(", ")], r)) for r in rows], schema=_SCHEMA)
+                return pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, r)) for r in rows], schema=_SCHEMA)
+
+            return each_batch(find)(batches)
 
         part = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, FOUND)
         found = part if found is None else found.union(part)
