@@ -731,7 +731,8 @@ def incremental_ingest(spark, sf):
 def incremental_ingest_numbered(spark, sf):
     path, checkpoint = shared_dir(spark, "stream"), shared_dir(spark, "progress")
     schema = t.table(spark, sf, "documents").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    # A pattern of that one name: the table may be a file, which a plain path may not, or a folder.
+    files = spark.readStream.schema(schema).parquet(f"{sf}/{{documents}}.parquet")
     points = files.select("doc_id", "lang", "n_chars")
     stream.stream_points(points, path, checkpoint, number_by="doc_id").awaitTermination()
     return stream.read_streamed(spark, path).select("id", "doc_id", "lang", "n_chars")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from nearfield.plans.queries import QUERIES
 from nearfield.streaming import ingest
 
 
@@ -60,3 +61,15 @@ def test_numbers_go_on_and_a_replayed_batch_gets_the_same(spark, tmp_path):
     first = spark.read.parquet(f"{out}/batch_id=1")
     assert ingest._written(spark, out, 1) == 30
     assert {r.id for r in first.collect()} == set(range(30, 37))
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_numbered_ingest_reads_a_table_that_is_a_file_or_a_folder(spark, tmp_path, files):
+    row = "100 - id AS doc_id, 'x' AS text, 'en' AS lang, 's' AS source, id AS n_chars"
+    docs = spark.range(60).selectExpr(*row.split(", ")).repartition(max(1, files))
+    docs.write.parquet(str(tmp_path / ("documents.parquet" if files else "parts")))
+    if not files:
+        (part,) = (tmp_path / "parts").glob("part-*.parquet")
+        (tmp_path / "documents.parquet").write_bytes(part.read_bytes())
+    found = QUERIES["incremental_ingest_numbered"](spark, str(tmp_path)).collect()
+    assert {r.id: (r.doc_id, r.n_chars) for r in found} == {i: (41 + i, 59 - i) for i in range(60)}
