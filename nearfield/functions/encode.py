@@ -20,14 +20,17 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.text import bare_text, clean_text, word_count
 from nearfield.schema import SPARSE_TYPE
-from nearfield.session import MAX_BROADCAST_ROWS
+from nearfield.session import MAX_BROADCAST_ROWS, give_back
 
 # BM25 saturation and length weight.
 BM25_K1 = 1.2
 BM25_B = 0.75
 
 # A worker forgets its word hashes at this many words, to bound its memory.
-WORD_CACHE = 1_000_000
+WORD_CACHE = 200_000
+# What is split into words and weighed at a time: so many rows and bytes of text.
+HELD_ROWS = 512
+HELD_BYTES = 2 << 20
 LOW_31_BITS = 0x7FFFFFFF
 
 # What one call of a user's model gets at most.
@@ -49,8 +52,20 @@ class _WordCodes(dict):
         return code
 
 
+def _pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in order, so many rows and bytes at a time, but at least one."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        fit = int(np.searchsorted(ends, before + HELD_BYTES, "right"))
+        stop = min(start + HELD_ROWS, max(start + 1, fit))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
 def _batch_codes(texts: pa.Array, known: _WordCodes) -> tuple[np.ndarray, np.ndarray]:
-    """(row number, word code) of every word in a batch of texts without punctuation.
+    """(row number, word code) of every word in a few texts without punctuation.
 
     Arrow splits the texts and numbers their distinct words; only those are hashed.
     """
@@ -88,16 +103,19 @@ class HashingEncoder:
 
         @F.arrow_udf("array<float>")
         def encode(batch: pa.Array) -> pa.Array:
-            rows, codes = _batch_codes(batch, known)
-            sign = np.where(codes & 15 < 8, 1.0, -1.0)
-            cells = rows * dim + (codes >> 4) % dim
-            counts = np.bincount(cells, weights=sign, minlength=len(batch) * dim)
-            vectors = counts.reshape(len(batch), dim)
-            if normalise:
-                length = np.sqrt((vectors**2).sum(axis=1, keepdims=True))
-                vectors = vectors / np.where(length > 0, length, 1)
-            flat = vectors.astype(np.float32).ravel()
-            return _list_array(flat, [dim] * len(batch), pa.float32())
+            made = [np.empty((0, dim), np.float32)]
+            for piece in _pieces(batch):
+                rows, codes = _batch_codes(piece, known)
+                sign = np.where(codes & 15 < 8, 1.0, -1.0)
+                cells = rows * dim + (codes >> 4) % dim
+                counts = np.bincount(cells, weights=sign, minlength=len(piece) * dim)
+                vectors = counts.reshape(len(piece), dim)
+                if normalise:
+                    length = np.sqrt((vectors**2).sum(axis=1, keepdims=True))
+                    vectors = vectors / np.where(length > 0, length, 1)
+                made.append(vectors.astype(np.float32))
+            give_back()
+            return _list_array(np.concatenate(made).ravel(), [dim] * len(batch), pa.float32())
 
         return encode(bare_text(text))
 
@@ -231,14 +249,19 @@ def word_counts(text: Column) -> Column:
 
     @F.arrow_udf(SPARSE_TYPE)
     def encode(batch: pa.Array) -> pa.Array:
-        rows, codes = _batch_codes(batch, known)
-        words, count = np.unique(rows << 31 | (codes >> 4 & LOW_31_BITS), return_counts=True)
-        sizes = np.bincount(words >> 31, minlength=len(batch))
-        index = (words & LOW_31_BITS).astype(np.int32)
+        sizes, indices, counts = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.float32)]
+        for piece in _pieces(batch):
+            rows, codes = _batch_codes(piece, known)
+            words, count = np.unique(rows << 31 | (codes >> 4 & LOW_31_BITS), return_counts=True)
+            sizes.append(np.bincount(words >> 31, minlength=len(piece)))
+            indices.append((words & LOW_31_BITS).astype(np.int32))
+            counts.append(count.astype(np.float32))
+        give_back()
+        size = np.concatenate(sizes)
         return pa.StructArray.from_arrays(
             [
-                _list_array(index, sizes, pa.int32()),
-                _list_array(count.astype(np.float32), sizes, pa.float32()),
+                _list_array(np.concatenate(indices), size, pa.int32()),
+                _list_array(np.concatenate(counts), size, pa.float32()),
             ],
             names=["indices", "values"],
         )
@@ -257,13 +280,19 @@ def _bm25(counts: Column, mean: Column) -> Column:
     def weigh(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for listed, mean_lengths in batches:
             mean = (mean_lengths[0].as_py() if len(mean_lengths) else None) or 1.0
+            weights = [np.empty(0, np.float32)]
+            for start in range(0, len(listed), HELD_ROWS):
+                piece = listed.slice(start, HELD_ROWS)
+                sizes = pc.list_value_length(piece).fill_null(0).to_numpy()
+                row = np.repeat(np.arange(len(piece)), sizes)
+                count = piece.flatten().to_numpy().astype(np.float64)
+                share = np.bincount(row, weights=count, minlength=len(piece)) / mean
+                shrink = BM25_K1 * (1 - BM25_B + BM25_B * share)
+                weight = count * (BM25_K1 + 1) / (count + shrink[row])
+                weights.append(weight.astype(np.float32))
+            give_back()
             sizes = pc.list_value_length(listed).fill_null(0).to_numpy()
-            row = np.repeat(np.arange(len(listed)), sizes)
-            count = listed.flatten().to_numpy().astype(np.float64)
-            share = np.bincount(row, weights=count, minlength=len(listed)) / mean
-            shrink = BM25_K1 * (1 - BM25_B + BM25_B * share)
-            weight = count * (BM25_K1 + 1) / (count + shrink[row])
-            yield _list_array(weight.astype(np.float32), sizes, pa.float32())
+            yield _list_array(np.concatenate(weights), sizes, pa.float32())
 
     return F.struct(counts["indices"].alias("indices"), weigh(counts["values"], mean).alias("values"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.session import shared_dir
+from nearfield.session import give_back, shared_dir
 
 # Words are runs of other characters than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,14 +86,6 @@ def gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     return mixed(total)
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: workers are kept for later tasks, what they freed need not be."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def each_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Batches], Batches]:
     """``make`` over the rows of a task, so many at a time; None gives no rows."""
 

@@ -1,13 +1,15 @@
-"""Session helpers: code shipping and the shared working folder."""
+"""Session helpers: code shipping, the shared working folder, memory of workers."""
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
 from functools import reduce
 from operator import add
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are kept for later tasks, what they freed need not be."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def row_bytes(df: DataFrame) -> Column:
     """About how many bytes a row takes: strings by their length, lists by that of their elements."""
 

@@ -1,6 +1,7 @@
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import plan
 from pyspark.sql import functions as F
@@ -272,3 +273,16 @@ def test_many_queries_take_a_pass_for_each_block_of_points(spark, points, vector
     short = queries.withColumn("dense", F.slice("dense", 1, F.when(F.col("query_id") == 1, 3).otherwise(8)))
     with pytest.raises(ValueError, match="differ in size"):
         topk.topk(points, short, topk.Branch(distance=distance), 4)
+
+
+def test_sparse_points_are_scored_a_few_at_a_time(monkeypatch):
+    """A batch of very many rows makes no matrix of all of them, however many indices are common."""
+    sparse = pa.StructArray.from_arrays([pa.array([[1, 2, 3]] * 5000, pa.list_(pa.int32())), pa.array([[1.0, 2.0, 0.5]] * 5000, pa.list_(pa.float32()))], names=["indices", "values"])
+    asked = pa.table({"query_id": [0, 1], "query_sparse": sparse[:2], "query_label": pa.nulls(2, pa.string()), "threshold": pa.nulls(2, pa.float64()), "k": pa.array([3, 2], pa.int32())})
+    sizes, gain = [], topk._SparseScorer.gain
+    monkeypatch.setattr(topk._SparseScorer, "gain", lambda self, points: sizes.append(len(points)) or gain(self, points))
+    running = topk.Search(asked, [topk.Branch("sparse", "Dot")])
+    running.feed(pa.table({"id": pa.array(range(5000)), "sparse": sparse}))
+    assert sum(sizes) == 5000 and max(sizes) <= 2048
+    (hits,) = running.hits()
+    assert [(r["query_id"], r["id"], r["gain"]) for r in hits.to_pylist()] == [(0, 0, 5.25), (0, 1, 5.25), (0, 2, 5.25), (1, 0, 5.25), (1, 1, 5.25)]

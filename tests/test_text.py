@@ -2,11 +2,13 @@ import os
 import re
 import string
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from nearfield.functions import encode
 from nearfield.functions import text as tx
 from nearfield.functions.encode import ModelEncoder, SparseModelEncoder
 
@@ -133,3 +135,21 @@ def test_a_sparse_model_must_fit_its_texts(spark):
             SparseModelEncoder(wrong).transform(text, "text").collect()
     with pytest.raises(ValueError, match="positive"):
         SparseModelEncoder(lambda: None, batch_rows=0)
+
+
+def test_encoders_hold_few_texts_at_a_time():
+    texts = pa.array([None, "", "a b a"] * 700 + ["long " * 1_000_000] * 2 + ["x"])
+    pieces = list(encode._pieces(texts))
+    assert pa.concat_arrays(pieces).equals(texts)
+    assert all(len(p) <= 512 and (len(p) == 1 or p.nbytes <= 3 << 20) for p in pieces)
+    assert list(encode._pieces(texts[:0])) == []
+
+
+def test_texts_of_several_pieces_keep_their_rows(spark):
+    rows = spark.range(1500).coalesce(1).selectExpr("id", "CASE WHEN id % 7 > 0 THEN concat('w', id, ' both w', id) END AS text")
+    dense = encode.HashingEncoder(8, normalise=False).transform(rows, "text")
+    got = {r.id: r for r in dense.withColumn("sparse", encode.word_counts(F.col("text"))).collect()}
+    for i, r in got.items():
+        assert sorted(r.sparse["values"]) == ([1.0, 2.0] if i % 7 else [])
+        assert sum(map(abs, r.dense)) in ((1.0, 3.0) if i % 7 else (0.0,))
+    assert len(got) == 1500 and len({tuple(r.sparse.indices) for r in got.values() if r.id % 7}) == sum(i % 7 > 0 for i in range(1500))
