@@ -26,8 +26,6 @@ from nearfield.session import MAX_BROADCAST_ROWS, give_back
 BM25_K1 = 1.2
 BM25_B = 0.75
 
-# A worker forgets its word hashes at this many words, to bound its memory.
-WORD_CACHE = 200_000
 # What is split into words and weighed at a time: so many rows and bytes of text.
 HELD_ROWS = 512
 HELD_BYTES = 2 << 20
@@ -42,14 +40,19 @@ class Encoder(Protocol):
     def transform(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame: ...
 
 
-class _WordCodes(dict):
-    """word -> first 36 bits of its md5, remembered while a task runs."""
+def _word_codes(words: pa.StringArray) -> np.ndarray:
+    """The first 36 bits of each word's md5.
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        code = self[word] = int.from_bytes(md5(word.encode()).digest()[:5], "big") >> 4
-        return code
+    They are taken from Arrow's bytes and not remembered: making Python strings of the words
+    and looking them up takes longer than hashing them, and a memory of words grows with the input.
+    """
+    if not len(words):
+        return np.empty(0, np.int64)
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    octets = memoryview(data or b"")
+    digests = b"".join([md5(octets[a:b]).digest() for a, b in zip(ends, ends[1:])])
+    return (np.frombuffer(digests, ">u8")[::2] >> np.uint64(28)).astype(np.int64)
 
 
 def _pieces(texts: pa.Array) -> Iterator[pa.Array]:
@@ -64,7 +67,7 @@ def _pieces(texts: pa.Array) -> Iterator[pa.Array]:
         start = stop
 
 
-def _batch_codes(texts: pa.Array, known: _WordCodes) -> tuple[np.ndarray, np.ndarray]:
+def _batch_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row number, word code) of every word in a few texts without punctuation.
 
     Arrow splits the texts and numbers their distinct words; only those are hashed.
@@ -73,13 +76,12 @@ def _batch_codes(texts: pa.Array, known: _WordCodes) -> tuple[np.ndarray, np.nda
     rows = np.repeat(np.arange(len(split)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
     words = pc.dictionary_encode(split.flatten())
     places = words.indices.to_numpy(zero_copy_only=False)
-    distinct = words.dictionary.to_pylist()
-    codes = np.fromiter((known[w] for w in distinct), dtype=np.int64, count=len(distinct))
-    if "" in distinct:
+    blank = words.dictionary.index("").as_py()
+    if blank >= 0:
         # Blanks at an end leave an empty word there.
-        kept = places != distinct.index("")
+        kept = places != blank
         rows, places = rows[kept], places[kept]
-    return rows, codes[places]
+    return rows, _word_codes(words.dictionary)[places]
 
 
 def _list_array(values: np.ndarray, sizes: np.ndarray | list[int], dtype: pa.DataType) -> pa.ListArray:
@@ -99,13 +101,12 @@ class HashingEncoder:
 
     def column(self, text: Column) -> Column:
         dim, normalise = self.dim, self.normalise
-        known = _WordCodes()
 
         @F.arrow_udf("array<float>")
         def encode(batch: pa.Array) -> pa.Array:
             made = [np.empty((0, dim), np.float32)]
             for piece in _pieces(batch):
-                rows, codes = _batch_codes(piece, known)
+                rows, codes = _batch_codes(piece)
                 sign = np.where(codes & 15 < 8, 1.0, -1.0)
                 cells = rows * dim + (codes >> 4) % dim
                 counts = np.bincount(cells, weights=sign, minlength=len(piece) * dim)
@@ -245,13 +246,11 @@ class SparseModelEncoder:
 def word_counts(text: Column) -> Column:
     """Sparse vector of how often each word occurs, indexed by 31 bits of its md5."""
 
-    known = _WordCodes()
-
     @F.arrow_udf(SPARSE_TYPE)
     def encode(batch: pa.Array) -> pa.Array:
         sizes, indices, counts = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.float32)]
         for piece in _pieces(batch):
-            rows, codes = _batch_codes(piece, known)
+            rows, codes = _batch_codes(piece)
             words, count = np.unique(rows << 31 | (codes >> 4 & LOW_31_BITS), return_counts=True)
             sizes.append(np.bincount(words >> 31, minlength=len(piece)))
             indices.append((words & LOW_31_BITS).astype(np.int32))

@@ -1,6 +1,8 @@
+import hashlib
 import os
 import re
 import string
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -153,3 +155,29 @@ def test_texts_of_several_pieces_keep_their_rows(spark):
         assert sorted(r.sparse["values"]) == ([1.0, 2.0] if i % 7 else [])
         assert sum(map(abs, r.dense)) in ((1.0, 3.0) if i % 7 else (0.0,))
     assert len(got) == 1500 and len({tuple(r.sparse.indices) for r in got.values() if r.id % 7}) == sum(i % 7 > 0 for i in range(1500))
+
+
+def test_encoders_remember_no_words(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(encode.F, "arrow_udf", lambda kind: lambda f: made.append(f) or (lambda *columns: columns[0]))
+    encode.word_counts(F.col("text"))
+    encode.HashingEncoder(8).column(F.col("text"))
+    texts = pa.array([" ".join(f"w{i + j}" for j in range(100)) for i in range(0, 100_000, 100)])
+    for encoder in made:
+        encoder(texts[:10])
+        tracemalloc.start()
+        assert len(encoder(texts)) == 1000
+        held = tracemalloc.get_traced_memory()[0]
+        tracemalloc.stop()
+        assert held < 1 << 20
+    assert len(made) == 2
+
+
+def test_words_are_numbered_by_their_md5():
+    texts = pa.array(["  a é a ", None, "", " ", "日本 a", "x" * 5000])
+    rows, codes = encode._batch_codes(texts)
+    words = ["a", "é", "a", "日本", "a", "x" * 5000]
+    assert rows.tolist() == [0, 0, 0, 4, 4, 5]
+    assert codes.tolist() == [int(hashlib.md5(w.encode()).hexdigest()[:9], 16) for w in words]
+    for few in (texts[:0], texts[1:3], texts[2:4]):
+        assert [len(x) for x in encode._batch_codes(few)] == [0, 0]
